@@ -84,7 +84,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
         same = same & rows[k].eqNullSafe(names[k])
     rows = cut(rows.join(names, same).drop(*(names[k] for k in KEY)), "named-rows")
     drop(names)
-    groups = rows.groupBy("_level", "_name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # as a table of its own, so that the join's two exchanges stand alone and a hot group's rows can be split over tasks
+    groups = cut(rows.groupBy("_level", "_name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)
     return rows.join(groups, ["_level", "_name"]).select(*KEY, "_copy", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

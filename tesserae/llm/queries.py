@@ -1,11 +1,14 @@
 """The queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, line_crf, mixing, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_quality_classifier": line_crf.op3_quality_classifier,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 SQL = {
