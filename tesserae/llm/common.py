@@ -6,9 +6,11 @@ driver and all executors share; only where that is unset (tests, a laptop) is a
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable
 
 import xxhash
@@ -111,27 +113,46 @@ class WordHashes(dict):
         return got
 
 
-class TokenCache(dict):
-    """A piece of text -> its ids as little-endian unsigned 32-bit bytes, by a tokenizers file. Pieces are cut where the
-    pre-tokenizer cuts too, so the ids of the pieces in a row are the ids of the whole text; the cache only saves
-    encoding a frequent word again."""
+class TokenCache:
+    """Ids of texts by a tokenizers file, as little-endian unsigned 32-bit bytes. A text is split where the pre-tokenizer cuts
+    anyway, so the ids of its pieces in a row are the ids of the whole text; each distinct piece is encoded once and
+    remembered. Two generations of at most ``bound`` pieces are held. Texts with unusual white space or with the text of a special
+    token are encoded whole."""
 
-    def __init__(self, path: str, bound: int = 1 << 18):
+    def __init__(self, path: str, bound: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's cores are taken by other tasks
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.tokenizer, self.bound, self.young, self.old = Tokenizer.from_file(path), bound, {}, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
-        got = self[piece] = self.whole(piece)
-        return got
+    def split(self, text: str) -> list[str]:
+        raise NotImplementedError
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        pieces = [None if ODD_SPACE.search(t) else self.split(t) for t in texts]
+        wanted = set().union(*(p for p in pieces if p))
+        young, old = self.young, self.old
+        if len(young) + len(wanted) > self.bound:
+            old = self.old = young
+            young = self.young = {}
+        new = []
+        for w in wanted:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                young[w] = array("I", e.ids).tobytes()
+        return [self.whole(t) if p is None else b"".join(map(young.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
@@ -140,10 +161,8 @@ ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
 class WordBpe(TokenCache):
     """For a tokenizer that drops white space and never joins words across it."""
 
-    def ids(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def split(self, text: str) -> list[str]:
+        return text.split()
 
 
 class ByteBpe(TokenCache):
@@ -151,7 +170,27 @@ class ByteBpe(TokenCache):
 
     PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
-    def ids(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.PIECES.findall(text)))
+    def split(self, text: str) -> list[str]:
+        return self.PIECES.findall(text)
+
+
+_CACHES: dict = {}
+
+
+def token_cache(kind: type, path: str) -> TokenCache:
+    """The worker's cache, which outlives a task."""
+    if (kind, path) not in _CACHES:
+        _CACHES[kind, path] = kind(path)
+    return _CACHES[kind, path]
+
+
+def runs(texts: list[str], most: int = 1 << 20):
+    """Slices of a batch of about ``most`` characters, so that what is held beside the batch stays small."""
+    begin = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)

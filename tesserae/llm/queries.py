@@ -1,9 +1,10 @@
 """The queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, line_crf, mixing, quality_rules, sharding, toxicity
+from . import exact_dedup, line_crf, mixing, packing, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_packing": packing.op2_packing,
     "op3_quality_classifier": line_crf.op3_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
