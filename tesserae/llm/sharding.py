@@ -58,6 +58,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     groups = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
     total = base.count()
     caps = [total // shards + (s < total % shards) for s in range(shards)]
+    groups = cut(groups, "linked")  # a table of its own: the join below can split a hot group over tasks
     dealt = global_rank(base, "_h", ["doc_id", "_key"], "_rank")
     dealt = cut(dealt.join(groups, "_key", "left"), "dealt")
     blocks = F.ceil(F.col("_members") / max(1, total // (2 * shards))).cast("long")
@@ -78,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     cum = F.array(*(F.lit(x).cast("long") for x in ends))
     alone = alone.select(*narrow, F.size(F.filter(cum, lambda e: e <= F.col("_free"))).cast("int").alias("shard"))
     placed = cut(state.select(*narrow, "shard").unionByName(alone), "placed")
-    drop(state, dealt, base)
+    drop(state, dealt, base, groups)
     part = F.pmod(F.col("_h"), F.lit(64)).cast("int")
     rows = placed.withColumn("_part", part)
     before = rows.groupBy("shard", "_part").count()  # at most shards * 64 rows
