@@ -1,11 +1,13 @@
 """The queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, line_crf, mixing, packing, quality_rules, sharding, toxicity
+from . import exact_dedup, line_crf, mixing, near_dedup, packing, quality_rules, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_quality_classifier": line_crf.op3_quality_classifier,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_near_dedup": near_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
