@@ -1,11 +1,12 @@
 """The queries of the training-data operators, by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, line_crf, mixing, near_dedup, packing, quality_rules, sharding, token_files, toxicity
+from . import exact_dedup, line_crf, mixing, near_dedup, packing, quality_rules, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_quality_classifier": line_crf.op3_quality_classifier,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
