@@ -93,13 +93,14 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
 def keep_unique(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = exact_dedup(docs, block_bytes).where("kept").select(*KEY)
-    text = ascii_lower(F.col("text"))
-    rows = docs.withColumns({"_len": F.octet_length(text), "_h": F.xxhash64(text)})
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy(*KEY).orderBy(F.lit(0)))).where("_copy = 1").drop("_copy")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))  # whatever the columns are called, they don't clash
+    text = ascii_lower(F.col("_doc.text"))
+    rows = rows.select("_doc", F.col("_doc.doc_id").alias("doc_id"), F.octet_length(text).alias("_len"), F.xxhash64(text).alias("_h"))
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy(*KEY).orderBy(F.lit(0)))).where("_copy = 1")
     same = F.lit(True)
     for k in KEY:
         same = same & rows[k].eqNullSafe(kept[k])
-    return rows.join(kept, same, "left_semi").drop("_len", "_h")
+    return rows.join(kept, same, "left_semi").select("_doc.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

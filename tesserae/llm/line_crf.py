@@ -176,7 +176,10 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least ``least``, with all their columns."""
-    return score_documents(docs, model, "_quality").where(F.col("_quality") >= least).drop("_quality")
+    name = "_quality"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return score_documents(docs, model, name).where(F.col(name) >= least).drop(name)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,18 +50,21 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, epoch
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, piece: float = 8.0) -> DataFrame:
-    """All columns of docs, with n_copies, copy_no and the hashed place, in globally shuffled order.
+    """All columns of docs, with n_copies, copy_no and the hashed place (which take the place of columns so called), in
+    globally shuffled order.
 
     weights: target share of each source; without them a source of n rows gets a share in proportion to n ** alpha.
     """
     table_ = cut(rates(docs, weights, alpha, epochs, piece), "rates")
-    joined = docs.join(broadcast_if_small(table_, 10_000), docs["source"].eqNullSafe(table_["_source"]))
-    who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))  # whatever the columns are called, they don't clash
+    joined = rows.join(broadcast_if_small(table_, 10_000), rows["_doc.source"].eqNullSafe(table_["_source"]))
+    who = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit("null"))
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.size(F.filter("_cdf", lambda c: c <= _uniform(F.lit(seed), who, j))))
     joined = joined.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b))
     copies = joined.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     place = F.md5(F.concat_ws(":", F.lit(f"place{seed}"), who, F.col("copy_no").cast("string")).cast("binary"))
-    copies = copies.withColumn("place", place).drop("_source", "_rate", "_parts", "_cdf")
+    own = ("n_copies", "copy_no", "place")
+    copies = copies.select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c.lower() not in own), "n_copies", "copy_no", place.alias("place"))
     return copies.repartitionByRange("place").sortWithinPartitions("place")
 
 

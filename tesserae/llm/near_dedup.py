@@ -200,9 +200,10 @@ def _first_text(texts: DataFrame, who: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each group of near duplicates, with all their columns."""
     gone = cut(near_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    first = docs.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    first = first.where("doc_id is null or _row = 1").drop("_row")
-    return first.join(gone, first["doc_id"] == gone["_gone"], "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc")).select("_doc", F.col("_doc.doc_id").alias("_id"))
+    first = rows.withColumn("_row", F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("_doc.text"))))
+    first = first.where("_id is null or _row = 1")
+    return first.join(gone, first["_id"] == gone["_gone"], "left_anti").select("_doc.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ from .common import crc_mod
 
 def with_score(docs: DataFrame, scorer: Callable[[], Callable[[list], np.ndarray]], column: str = "score") -> DataFrame:
     """All columns of docs and a double. scorer() is called once in each task and returns texts -> scores; a null text is
-    scored as the empty text."""
+    scored as the empty text; a column of docs that has the score's name gives way to it."""
+    docs = docs.select(*(c for c in docs.columns if c.lower() != column.lower()))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches):
