@@ -26,7 +26,13 @@ from .common import cut, drop, global_rank, table
 def _propagate(state: DataFrame, quota_base: list[int], shards: int) -> tuple[DataFrame, int]:
     """One round over the linked rows: (doc_id, ..., _group, shard) with new shards, and how many moved."""
     counts = state.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy("_group").agg(F.max(F.struct(F.col("_n"), F.xxhash64("_group", "shard").alias("_tie"), F.col("shard").alias("_to"))).alias("_best"))
+    held = {r[0]: r[1] for r in counts.groupBy("shard").agg(F.sum("_n")).collect()}  # one number for each shard
+    rooms = F.array(*(F.lit(max(0, quota_base[s] - held.get(s, 0))).cast("long") for s in range(shards)))
+    # a shard that can take the whole group goes before one that can't, then the one where most of it is
+    total = F.sum("_n").over(W.partitionBy("_group"))  # at most one row for each shard
+    fits = F.element_at(rooms, F.col("shard") + 1) >= total - F.col("_n")
+    ranked = counts.withColumn("_fits", fits)
+    best = ranked.groupBy("_group").agg(F.max(F.struct("_fits", "_n", F.xxhash64("_group", "shard").alias("_tie"), F.col("shard").alias("_to"))).alias("_best"))
     moves = counts.join(best, "_group").select("_group", "shard", F.col("_best._to").alias("_to"), (F.col("_best._n") - F.col("_n")).alias("_gain"), "_n")
     wanted = moves.where("shard <> _to").groupBy("shard", "_to").agg(F.sum("_n").alias("_want"))
     back = wanted.select(F.col("_to").alias("shard"), F.col("shard").alias("_to"), F.col("_want").alias("_back"))
