@@ -6,10 +6,11 @@
    and on fewer than ``MATCH`` of them once in about 50,000 such pairs. So only a prefix of each node's postings is merged: its
    K - MATCH + 1 rarest by the global order (frequency, value); two nodes with MATCH postings in common share one of these. Values
    that occur once meet nobody and are skipped before any list is merged.
-3. Lists are merged in rounds over components. A star round joins every node of a list with one centre of it only and
-   counts the collisions of each pair; the pair with most collisions is confirmed. Once most of a list is one component, the last
-   round takes all pairs of nodes in *different* components of a list, which is what is left to decide, so that no
-   link between components is missed however long the list is.
+3. Lists are merged in rounds over components. A star round joins the nodes outside a list's largest component with one member
+   of that component and counts the collisions of each pair; those with most collisions are confirmed. The member changes from
+   round to round, so that nearly all of a group of near copies soon is one component. The last round takes all pairs of nodes
+   in *different* components of a list, which is all that is left to decide, so that no link between components is missed
+   however long the list is.
 4. A pair that agrees on at least MATCH coordinates is confirmed on the full shingle sets of both texts; links make
    connected components by min-label propagation with pointer jumping.
 
@@ -34,6 +35,7 @@ from .common import WordHashes, broadcast_if_small, cut, drop, table
 K, MATCH, SHINGLE = 96, 55, 5
 FACTORS = (np.random.default_rng(5).integers(0, 1 << 63, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.arange(K, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+TURNS = ((False, 3), (False, 3), (False, 3), (True, 6), (True, 12))  # star rounds: whether each list has a centre of its own, and pairs tried for each node
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
 
@@ -120,7 +122,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that agree on MATCH coordinates and then on their full sets."""
-    left, right = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b"))
+    left, right = (sigs.select(F.col("node").alias(c), F.col("short").alias(f"sig_{c}")) for c in ("a", "b"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = cut(pairs.join(left, "a").join(right, "b").where(agree >= MATCH).select("a", "b"), "near-pairs")
     ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
@@ -129,6 +131,29 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _split_lists(prefix: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """The postings of lists that still hold more than one component, with the list's largest component (of equal ones the one
+    that a hash favours in this turn, the same in all lists)."""
+    placed = cut(prefix.join(comps, "node", "left").select("node", "value", "n", F.coalesce("comp", "node").alias("comp")), "placed")
+    per_comp = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("_m"))
+    main = per_comp.groupBy("value").agg(F.max(F.struct("_m", F.xxhash64(F.lit(turn), "comp").alias("_h"), "comp")).alias("_main"), F.count(F.lit(1)).alias("_comps"))
+    main = cut(main.where("_comps > 1").select("value", F.col("_main.comp").alias("_main")), "main")
+    out = cut(placed.join(main, "value"), "split")
+    drop(placed, main)
+    return out
+
+
+def _star(split: DataFrame, turn: int, by_value: bool, most: int) -> DataFrame:
+    """Pairs (a, b) of nodes outside their list's largest component with one member of it, at most ``most`` for each node, those of
+    most collisions first. The member is the one that a hash favours, in this turn or (by_value) in this turn and list."""
+    favour = F.xxhash64(F.lit(turn), "node", "value") if by_value else F.xxhash64(F.lit(turn), "node")
+    centres = split.where("comp = _main").groupBy("value").agg(F.min_by("node", F.struct(favour, F.col("node"))).alias("centre"))
+    asks = split.where("comp <> _main").select("value", "node").join(cut(centres, "centres"), "value")
+    met = asks.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("_c"))
+    best = met.withColumn("_row", F.row_number().over(W.partitionBy("node").orderBy(F.desc("_c"), F.xxhash64(F.lit(turn), "node", "centre")))).where(F.col("_row") <= most)
+    return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     spark = docs.sparkSession
@@ -153,27 +178,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").withColumn("_x", F.xxhash64("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
     # rows that repeat a doc_id with another text are told apart by the class's own text hash, computed as in signatures()
     texts = cut(_first_text(texts, who), "texts")
-    none = spark.createDataFrame([], "a long, b long")
-    links, comps = none, spark.createDataFrame([], "node long, comp long")
-    for pick in (F.min, F.max):
-        placed = cut(_placed(prefix, comps), "placed")
-        lists = placed.groupBy("value").agg(pick("node").alias("centre"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
-        met_centre = placed.join(cut(lists, "lists"), "value").where("node <> centre")
-        met_centre = met_centre.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("_c"))
-        centre_comp = placed.select(F.col("node").alias("centre"), F.col("comp").alias("_cc")).distinct()
-        node_comp = placed.select("node", "comp").distinct()
-        open_ = met_centre.join(node_comp, "node").join(centre_comp, "centre").where("comp <> _cc")
-        best = open_.groupBy("node").agg(F.max(F.struct("_c", "centre")).alias("_b")).select(F.least("node", "_b.centre").alias("a"), F.greatest("node", "_b.centre").alias("b")).distinct()
-        links = cut(links.unionByName(_confirm(best, sigs, texts)), "links")
+    short = cut(sigs.select("node", F.transform("sig", lambda x: F.shiftright(x, 32).cast("int")).alias("short")).join(ids, "node", "left_semi"), "short-signatures")
+    links, comps = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long")
+    for turn, (by_value, most) in enumerate(TURNS):
+        split = _split_lists(prefix, comps, turn)
+        if not split.limit(1).count():
+            break
+        links = cut(links.unionByName(_confirm(_star(split, turn, by_value, most), short, texts)), "links")
         comps = components(links)
-    placed = cut(_placed(prefix, comps), "placed")
-    per_comp = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("_m"))
-    main = per_comp.groupBy("value").agg(F.max(F.struct("_m", "comp")).alias("_main"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1").select("value", F.col("_main.comp").alias("_main"))
-    split = cut(placed.join(cut(main, "main"), "value"), "split")
+        drop(split)
+    split = _split_lists(prefix, comps, len(TURNS))
     aside = split.where("comp <> _main").select("value", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
     pairs = aside.join(split, "value").where("comp <> cx and (comp = _main or x < node) and 4 * least(n, nx) >= 3 * greatest(n, nx)")
     pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    last = _confirm(pairs, sigs, texts)
+    last = _confirm(pairs, short, texts)
     comps = components(links.unionByName(last))
     tree = cut(classes.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("component_id")), "class-components")
     whole = cut(who.join(tree, "key", "left").select("doc_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "components")
@@ -181,10 +199,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _placed(prefix: DataFrame, comps: DataFrame) -> DataFrame:
-    return prefix.join(comps, "node", "left").select("node", "value", "n", F.coalesce("comp", "node").alias("comp"))
-
-
 def _first_text(texts: DataFrame, who: DataFrame) -> DataFrame:
     """node, text: of the rows that share a doc_id the one that decides its links."""
 
