@@ -40,27 +40,20 @@ class Batch:
 
     def __init__(self, rows: pa.Table):
         if not _HASHES:
-            _HASHES.extend((WordHashes(3), WordHashes(4)))
+            _HASHES.append(WordHashes(3))
         docs = sorted(zip(rows.column("doc_id").to_pylist(), ((t or "").encode() for t in rows.column("text").to_pylist()), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         self.doc_ids = [d for d, _ in docs]
         self.words = [t.split() for _, t in docs]
         sizes = [max(0, len(w) - WINDOW + 1) if d is not None else 0 for d, w in zip(self.doc_ids, self.words, strict=True)]
         self.begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.h = np.empty((2, int(self.begins[-1])), dtype=np.uint64)
-        for lane, hashes in enumerate(_HASHES):
-            for i, n in enumerate(sizes):
-                if n:
-                    ids = np.fromiter(map(hashes.__getitem__, self.words[i]), dtype=np.uint64, count=len(self.words[i]))
-                    with np.errstate(over="ignore"):
-                        w = ids[:n] * ODD[lane, 0]
-                        for j in range(1, WINDOW):
-                            w += ids[j : j + n] * ODD[lane, j]
-                        w ^= w >> np.uint64(31)
-                        w *= SPIN
-                    self.h[lane, self.begins[i] : self.begins[i + 1]] = w
+        self.h = np.empty(int(self.begins[-1]), dtype=np.uint64)
+        self.ids = [np.fromiter(map(_HASHES[0].__getitem__, w), dtype=np.uint64, count=len(w)) if n else None for w, n in zip(self.words, sizes, strict=True)]
+        for i, n in enumerate(sizes):
+            if n:
+                self.h[self.begins[i] : self.begins[i + 1]] = self._windows(self.ids[i], n, ODD[0])
         # distinct windows in hash order; documents stand in doc_id order, so the first place is the smallest doc_id
-        order = np.argsort(self.h[0], kind="stable")
-        s = self.h[0][order]
+        order = np.argsort(self.h, kind="stable")
+        s = self.h[order]
         new = np.ones(len(s), dtype=bool)
         new[1:] = s[1:] != s[:-1]
         self.distinct, self.first = s[new], order[new]
@@ -68,6 +61,29 @@ class Batch:
         self.which = np.empty(len(s), dtype=np.int64)
         self.which[order] = np.cumsum(new) - 1
 
+    @staticmethod
+    def _windows(ids: np.ndarray, n: int, odd: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            w = ids[:n] * odd[0]
+            for j in range(1, WINDOW):
+                w += ids[j : j + n] * odd[j]
+            w ^= w >> np.uint64(31)
+            w *= SPIN
+        return w
+
+    def second(self, places: np.ndarray) -> np.ndarray:
+        """An independent hash of the windows at some places: other multipliers on remixed words."""
+        doc = np.searchsorted(self.begins, places, side="right") - 1
+        out = np.empty(len(places), dtype=np.uint64)
+        order = np.argsort(doc, kind="stable")
+        edge = np.searchsorted(doc[order], np.arange(len(self.words) + 1))
+        for i in np.flatnonzero(np.diff(edge)).tolist():
+            rows = order[edge[i] : edge[i + 1]]
+            with np.errstate(over="ignore"):
+                ids = (self.ids[i] ^ (self.ids[i] >> np.uint64(29))) * SPIN
+            out[rows] = self._windows(ids, len(ids) - WINDOW + 1, ODD[1])[places[rows] - self.begins[i]]
+        return out
+
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         ids = np.array([d if d is not None else -(1 << 62) for d in self.doc_ids], dtype=np.int64)
         return ids[np.searchsorted(self.begins, places, side="right") - 1]
@@ -144,7 +160,7 @@ def substring_dedup(docs: DataFrame, batch_bytes: int = 4 << 20, with_text: bool
             here[who[seen]] = True
             likely &= here
         pick = np.flatnonzero(likely)
-        h1, h2, doc = b.distinct[pick], b.h[1][b.first[pick]] >> np.uint64(32), b.doc_of(b.first[pick])
+        h1, h2, doc = b.distinct[pick], b.second(b.first[pick]) >> np.uint64(32), b.doc_of(b.first[pick])
         where = (h1 % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         edge = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -185,7 +201,7 @@ def substring_dedup(docs: DataFrame, batch_bytes: int = 4 << 20, with_text: bool
         elsewhere = np.zeros(len(b.distinct), dtype=bool)
         for blob in found.column("places").to_pylist():
             elsewhere[np.frombuffer(blob, dtype="<u4")] = True
-        place = np.arange(b.h.shape[1])
+        place = np.arange(len(b.h))
         gone = elsewhere[b.which] | (b.doc_of(place) > b.doc_of(b.first[b.which])) if len(place) else np.zeros(0, dtype=bool)
         removed, shas, texts = [], [], []
         for i, words in enumerate(b.words):

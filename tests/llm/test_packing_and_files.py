@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -16,8 +17,13 @@ WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.pa
 ODD = ["a\t b", "  x  y\n\n z ", "don't 's it's", "<|endoftext|> a<|endoftext|>", "\x1cx y", "é .", "", " ", "\n\n", "A.B. c., D,. 1. #. .,a", "x\r\ny", "  x", "İstanbul ΣΑΣ. ", "!!! ... ,"]
 
 
+@functools.cache
+def tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def plain(path, text, end):
-    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
+    return [*tokenizer(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize(("kind", "path"), [(WordBpe, WORDS), (ByteBpe, BYTES)])
