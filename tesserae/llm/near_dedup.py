@@ -10,7 +10,8 @@
    of that component and counts the collisions of each pair; those with most collisions are confirmed. The member changes from
    round to round, so that nearly all of a group of near copies soon is one component. The last round takes all pairs of nodes
    in *different* components of a list, which is all that is left to decide, so that no link between components is missed
-   however long the list is.
+   however long the list is; left out are only pairs that cannot reach the similarity, given how many of its shingles each node
+   shares with any other.
 4. A pair that agrees on at least MATCH coordinates is confirmed on the full shingle sets of both texts; links make
    connected components by min-label propagation with pointer jumping.
 
@@ -131,6 +132,22 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _shared(texts: DataFrame) -> DataFrame:
+    """node, shared: how many of the node's shingles stand in another of these texts too."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                got = shingles(text or "", hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), node)), pa.array(got.view(np.int64))], names=["node", "shingle"])
+
+    each = texts.select("node", "text").mapInArrow(run, "node long, shingle long")
+    often = cut(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("shingle"), "shared-shingles")
+    found = each.join(often, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    return texts.select("node").join(found, "node", "left").select("node", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 def _split_lists(prefix: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
     """The postings of lists that still hold more than one component, with the list's largest component (of equal ones the one
     that a hash favours in this turn, the same in all lists)."""
@@ -188,8 +205,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         comps = components(links)
         drop(split)
     split = _split_lists(prefix, comps, len(TURNS))
-    aside = split.where("comp <> _main").select("value", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    pairs = aside.join(split, "value").where("comp <> cx and (comp = _main or x < node) and 4 * least(n, nx) >= 3 * greatest(n, nx)")
+    # what a node shares with any other bounds what it shares with one: a link needs 7 * intersection >= 3 * (n + n')
+    split = cut(split.join(_shared(texts.join(split.select("node").distinct(), "node", "left_semi")), "node"), "open-lists")
+    aside = split.where("comp <> _main").select("value", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
+    pairs = aside.where("7 * sx >= 5 * nx").join(split.where("7 * shared >= 5 * n"), "value").where("comp <> cx and (comp = _main or x < node) and 7 * least(shared, sx) >= 3 * (n + nx)")
     pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     last = _confirm(pairs, short, texts)
     comps = components(links.unionByName(last))
