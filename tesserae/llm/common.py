@@ -119,7 +119,7 @@ class TokenCache:
     remembered. Two generations of at most ``bound`` pieces are held. Texts with unusual white space or with the text of a special
     token are encoded whole."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's cores are taken by other tasks
         from tokenizers import Tokenizer
 
@@ -128,6 +128,10 @@ class TokenCache:
     def split(self, text: str) -> list[str]:
         raise NotImplementedError
 
+    def stem(self, piece: str) -> str:
+        """Without a full stop or comma after an ASCII letter, which is always a token of its own."""
+        return piece[:-1] if piece[-1] in ".," and piece[-2:-1].isascii() and piece[-2:-1].isalpha() else piece
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -138,17 +142,25 @@ class TokenCache:
         if len(young) + len(wanted) > self.bound:
             old = self.old = young
             young = self.young = {}
-        new = []
+        new, stems = [], {".", ","} - young.keys()
         for w in wanted:
             if w not in young:
                 if w in old:
                     young[w] = old[w]
                 else:
-                    new.append(w)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+                    stem = self.stem(w)
+                    new.append((w, stem))
+                    if stem in old:
+                        young[stem] = old[stem]
+                    elif stem not in young:
+                        stems.add(stem)
+        todo = list(stems)
+        for at in range(0, len(todo), 10_000):
+            part = todo[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 young[w] = array("I", e.ids).tobytes()
+        for w, stem in new:
+            young[w] = young[stem] + young[w[-1]] if len(stem) < len(w) else young[stem]
         return [self.whole(t) if p is None else b"".join(map(young.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
 
     def ids(self, text: str) -> bytes:
@@ -159,11 +171,15 @@ ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
 
 
 class WordBpe(TokenCache):
-    """For a tokenizer that drops white space and never joins words across it."""
+    """For a lower-casing tokenizer that drops white space and never joins words across it."""
 
     def split(self, text: str) -> list[str]:
         return text.split()
 
+    def stem(self, piece: str) -> str:
+        stem = super().stem(piece)
+        return stem.lower() if stem.isascii() else stem
+
 
 class ByteBpe(TokenCache):
     """For byte-level pre-tokenization, where the last white space before a word belongs to that word."""

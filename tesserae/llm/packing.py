@@ -83,8 +83,8 @@ def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
 
 
 def deal(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, with as few windows as differencing fits into the capacity."""
-    windows = max(1, -(-int(sizes.sum()) // capacity))
+    """The window of each item. The count of windows starts where 98.5 in 100 places are filled and rises until all fit."""
+    windows = max(1, -(-int(sizes.sum()) * 1000 // (capacity * 985)))
     while True:
         where, most = difference(sizes, windows)
         if most <= capacity:
