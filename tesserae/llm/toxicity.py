@@ -1,13 +1,15 @@
-"""Toxicity by compression distance with two zstandard dictionaries.
+"""Toxicity by compression distance with a trained zstandard dictionary and a list of toxic units.
 
 A text is lower-cased (A-Z) and written as a stream of fixed-width codes, one for each word and one for the word's opening
 bytes, so that what the compressor matches is whole words and word families, not chance runs of letters. The stream is cut into
-windows of ``window`` words. Each window is compressed twice: with a dictionary trained on ordinary text, and with the same
-dictionary preceded by one trained on toxic text. The bytes that the second saves are the window's margin. A document's score
+windows of ``window`` words. Each window is compressed twice: with a dictionary that zstandard trained on ordinary text, and
+with the same dictionary preceded by the list of toxic units. The bytes that the second saves are the window's margin. A document's score
 is a logistic function of how many windows reach the calibrated margin, their share, and the largest margin.
 
-The toxic dictionary is trained on those units of the toxic documents that mark them off: units in at least ``min_share`` of
-the toxic sample and ``min_lift`` times as frequent there as in the ordinary sample.
+The list is not trained by zstandard: it is made of those units of the toxic documents that mark them off, units in at least
+``min_share`` of the toxic sample and ``min_lift`` times as frequent there as in the ordinary sample. So words rarer or more
+common than that save nothing, and phrases and word order are not learnt. A dictionary that zstandard trains on the windows of
+the toxic sample holds mostly the ordinary words around the toxic ones and tells the classes apart far worse (README).
 
 Fitted on at most ``rows`` labelled documents (half toxic where there are enough), chosen by a hash of doc_id among the rows
 that ``train`` admits. Every text is scored whole.
@@ -72,7 +74,7 @@ def _train(size: int, samples: list[bytes]) -> bytes:
 
 
 class Model:
-    """Both dictionaries, the margin that counts and the logistic weights; ``features`` does the compressing."""
+    """The dictionary, the list of toxic units, the margin that counts and the logistic weights; ``features`` does the compressing."""
 
     def __init__(self, window: int = 16, opening: int = 6):
         self.window, self.opening = window, opening
@@ -95,7 +97,7 @@ class Model:
                 out[i] = np.log1p(len(hits)), 10 * len(hits) / len(m), min(10, m.max()) / 10, np.log1p(hits.sum() / len(m))
         return out
 
-    def fit(self, rows: list[tuple], min_share: float = 0.02, min_lift: float = 6.0, toxic_bytes: int = 4096, ordinary_bytes: int = 4096) -> Model:
+    def fit(self, rows: list[tuple], min_share: float = 0.02, min_lift: float = 6.0, ordinary_bytes: int = 4096) -> Model:
         toxic, ordinary = ([t for _, t, y in rows if y == k] for k in (1, 0))
         if not toxic or not ordinary:
             return self
@@ -109,10 +111,10 @@ class Model:
         if not marks:
             return self
         plain = [w for t in ordinary for w in self.windows(t, units)]
-        self.ordinary = _train(ordinary_bytes, plain[:: max(1, len(plain) // 100_000)])
+        self.ordinary = _train(ordinary_bytes, plain)
         # one dictionary entry for each unit, the most frequent ones last, where matches are cheapest
         counts = Counter(u for t in toxic for u in split(t) if u in marks)
-        self.toxic = b"".join(u for u, _ in reversed(counts.most_common(toxic_bytes // 8)))
+        self.toxic = b"".join(u for u, _ in reversed(counts.most_common()))
         margins, y = self.margins([t for _, t, _ in rows]), np.array([float(r[2]) for r in rows])
         best = (-1.0, 3)
         for least in range(1, 9):

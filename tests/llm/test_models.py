@@ -116,3 +116,14 @@ def test_rule_counts(docs, rows, empty, models):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
     assert quality_rules.judge(empty, forest).count() == 0
+
+
+def test_toxic_list_and_ordinary_samples_are_whole(monkeypatch):
+    seen, train = [], toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda size, samples: seen.append(len(samples)) or train(size, samples))
+    marks = [f"vile{i}" for i in range(600)]
+    rows = [(i, " ".join(["plain", "words"] * 5000), 0) for i in range(21)] + [(100 + i, " ".join(marks), 1) for i in range(5)]
+    model = toxicity.Model(window=1, opening=12).fit(rows)
+    assert seen == [21 * 10_000]
+    units = toxicity.Units(12)
+    assert len(model.toxic) == 8 * 600 and all(units[w.encode()] in model.toxic for w in marks)
