@@ -3,12 +3,17 @@
 Documents of equal text are linked. Labels (shards) start as an exactly even deal by a hash of doc_id; then, in each
 round, a join with the label counts of its group tells every linked document the shard where most of its neighbours
 are, and it moves there if the quota of that pair of shards allows: what the two shards exchange, plus the
-target's free room. Documents without links have no edge to cut and fill the places that are left, so that the law
-``rows`` (counts at most one apart) holds exactly.
+target's free room. Rounds go on until nothing moves or the groups are in no fewer pieces than before; then the groups
+that are still cut are lifted out and go whole into the rooms that this leaves, largest first. Documents without links have
+no edge to cut and fill the places that are left, so that the law ``rows`` (counts at most one apart) holds exactly.
 
-A group never becomes pairs: its links are kept as counts per (group, shard), summed map-side first. A group larger
-than half a shard is split into blocks by a hash of doc_id beforehand (no single shard could hold it), so no
-key holds more than about half a shard's rows.
+Groups of more than an eighth of a shard (at most 8 * shards of them, or all groups where a shard has under 8 rows) start whole,
+largest first in the fullest shard with room, since later no shard would have room for them. Only a group larger than a shard is split,
+into blocks of exactly a shard's rows and one of the rest: no two of these could share a shard, so every link that can be
+kept is kept. A group that fits nowhere takes part in the rounds, and if it is cut after them, fills free places side by side.
+
+A group never becomes pairs: its links are kept as counts per (group, shard), summed map-side first. ``kept_whole``
+reports how many groups are in one shard.
 
 Defined cases: a null text is linked with the empty texts; rows that repeat a doc_id are rows like any other; an
 empty table gives no rows; extra columns are not read.
@@ -16,11 +21,14 @@ empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, drop, global_rank, table
+from .common import cut, drop, global_rank, high_bits, table
+
+PARTS = 8  # bits of the hash that number the rows of a group larger than a shard
+LIFTED = 100_000  # groups that the driver places at once after the rounds
 
 
 def _propagate(state: DataFrame, quota_base: list[int], shards: int) -> tuple[DataFrame, int]:
@@ -55,8 +63,45 @@ def _propagate(state: DataFrame, quota_base: list[int], shards: int) -> tuple[Da
     return new, moved
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+def _fill(sizes: list[tuple], rooms: list[int]) -> dict:
+    """name -> shard for the (name, size) that fit whole, largest first, each in the fullest shard with room; rooms shrink."""
+    out = {}
+    for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        room, s = min(((r, s) for s, r in enumerate(rooms) if r >= n), default=(0, -1))
+        if s >= 0:
+            out[name] = s
+            rooms[s] = room - n
+    return out
+
+
+def _deal(places: list[int], rank) -> Column:
+    """The shard of a rank when shard 0 takes the first places[0] ranks, shard 1 the next places[1], and so on."""
+    ends = F.array(*(F.lit(sum(places[: s + 1])).cast("long") for s in range(len(places))))
+    return F.size(F.filter(ends, lambda e: e <= F.col(rank))).cast("int")
+
+
+def _loads(df: DataFrame, shards: int) -> list[int]:
+    held = {r[0]: r[1] for r in df.groupBy("shard").count().collect()}  # one number for each shard
+    return [held.get(s, 0) for s in range(shards)]
+
+
+def _blocks(linked: DataFrame, limit: int, size: int) -> DataFrame:
+    """Adds _block: 0, or for groups of more than limit rows the row's number within its group over size. Rows are numbered in
+    two levels, so that no task sees a whole group; there are fewer groups of that size than shards."""
+    part = F.when(F.col("_members") > limit, high_bits(F.col("_h"), PARTS))
+    rows = linked.withColumn("_part", part)
+    large = rows.where("_part is not null")
+    before = large.groupBy("_key", "_part").count()
+    before = before.select("_key", "_part", (F.sum("count").over(W.partitionBy("_key").orderBy("_part")) - F.col("count")).alias("_before"))
+    number = F.row_number().over(W.partitionBy("_key", "_part").orderBy("_h", "doc_id")) - 1
+    numbered = large.withColumn("_row", number).join(F.broadcast(before), ["_key", "_part"])
+    numbered = numbered.withColumn("_block", F.floor((F.col("_before") + F.col("_row")) / size).cast("long"))
+    return rows.where("_part is null").withColumn("_block", F.lit(0).cast("long")).unionByName(numbered.drop("_row", "_before")).drop("_part")
+
+
+def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
+    spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     base = docs.select("doc_id", text.alias("_text"))
     base = base.select("doc_id", (F.octet_length("_text") + 16).cast("long").alias("size"), F.crc32("_text").alias("text_crc32"), F.sha2("_text", 256).alias("_key"))
@@ -65,27 +110,52 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     total = base.count()
     caps = [total // shards + (s < total % shards) for s in range(shards)]
     groups = cut(groups, "linked")  # a table of its own: the join below can split a hot group over tasks
-    dealt = global_rank(base, "_h", ["doc_id", "_key"], "_rank")
-    dealt = cut(dealt.join(groups, "_key", "left"), "dealt")
-    blocks = F.ceil(F.col("_members") / max(1, total // (2 * shards))).cast("long")
+    dealt = cut(base.join(groups, "_key", "left"), "dealt")
     narrow = ["doc_id", "size", "text_crc32", "_h"]
-    state = cut(dealt.where("_members is not null").select(*narrow, F.xxhash64("_key", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), blocks)).alias("_group"), (F.col("_rank") % shards).cast("int").alias("shard")), "labels")
-    for _ in range(rounds):
-        new, moved = _propagate(state, caps, shards)
+    quota = max(1, total // shards)
+    # groups of more than an eighth of a shard, in blocks that a shard can hold
+    large = [(r[0], r[1]) for r in groups.where(F.col("_members") > quota // 8).collect()]
+    sizes = []
+    for key, n in large:
+        step = n if n <= caps[0] else quota
+        sizes += [((key, k), min(step, n - k * step)) for k in range(-(-n // step))]
+    rooms = list(caps)
+    whole = [(key, k, s) for (key, k), s in _fill(sizes, rooms).items()]
+    whole = spark.createDataFrame(whole, "_key string, _block long, shard int")
+    linked = _blocks(dealt.where("_members is not null"), caps[0], quota)
+    linked = cut(linked.join(F.broadcast(whole), ["_key", "_block"], "left").select(*narrow, F.xxhash64("_key", "_block").alias("_group"), "shard"), "blocks")
+    settled = linked.where("shard is not null")
+    # the other linked rows start as an even deal over the rooms
+    rest = global_rank(linked.where("shard is null").drop("shard"), "_h", ["doc_id", "_group"], "_rank")
+    n, free = linked.where("shard is null").count(), sum(rooms)
+    starts = [r * n // max(1, free) for r in rooms]
+    for s in sorted(range(shards), key=lambda s: starts[s] - rooms[s])[: n - sum(starts)]:
+        starts[s] += 1
+    state = cut(rest.select(*narrow, "_group", _deal(starts, "_rank").alias("shard")), "labels")
+    pieces = None
+    while n:
+        new, moved = _propagate(state, rooms, shards)
         if not moved:
             break
         drop(state)
-        state = new
-    loads = {r[0]: r[1] for r in state.groupBy("shard").count().collect()}  # one number for each shard
-    ends, end = [], 0
-    for s in range(shards):
-        end += caps[s] - loads.get(s, 0)
-        ends.append(end)
-    alone = global_rank(dealt.where("_members is null"), "_h", ["doc_id", "_key"], "_free")
-    cum = F.array(*(F.lit(x).cast("long") for x in ends))
-    alone = alone.select(*narrow, F.size(F.filter(cum, lambda e: e <= F.col("_free"))).cast("int").alias("shard"))
-    placed = cut(state.select(*narrow, "shard").unionByName(alone), "placed")
-    drop(state, dealt, base, groups)
+        state, was = new, pieces
+        pieces = state.select("_group", "shard").distinct().count()
+        if was is not None and pieces >= was:
+            break
+    # groups that are still cut leave their places and go whole where they fit
+    spread = state.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("shard").alias("_low"), F.max("shard").alias("_high")).where("_low < _high")
+    lifted = [(r[0], r[1]) for r in spread.orderBy(F.desc("_n"), "_group").limit(LIFTED).collect()]
+    loads = _loads(state.join(spread.select("_group"), "_group", "left_anti"), shards)
+    rooms = [r - x for r, x in zip(rooms, loads, strict=True)]
+    placed = spark.createDataFrame(list(_fill(lifted, rooms).items()), "_group long, _to int")
+    still = spread.select("_group", F.lit(True).alias("_cut")).join(placed, "_group", "left")
+    state2 = cut(state.join(still, "_group", "left").select(*narrow, "_group", F.when(F.col("_cut").isNull(), F.col("shard")).otherwise(F.col("_to")).alias("shard")), "lifted")
+    # what fits nowhere, side by side, and the rows without links fill the places that are left
+    loose = state2.where("shard is null").select(*narrow, F.xxhash64("_group").alias("_fill"))
+    alone = dealt.where("_members is null").select(*narrow, F.col("_h").alias("_fill")).unionByName(loose)
+    alone = global_rank(alone, "_fill", ["_h", "doc_id", "text_crc32"], "_free").select(*narrow, _deal(rooms, "_free").alias("shard"))
+    placed = cut(settled.select(*narrow, "shard").unionByName(state2.where("shard is not null").select(*narrow, "shard")).unionByName(alone), "placed")
+    drop(state, state2, linked, dealt, base, groups)
     part = F.pmod(F.col("_h"), F.lit(64)).cast("int")
     rows = placed.withColumn("_part", part)
     before = rows.groupBy("shard", "_part").count()  # at most shards * 64 rows
@@ -95,5 +165,16 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_before") + F.col("_row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def kept_whole(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row: groups of equal texts, those of them that a shard could hold, and those that lie in one shard."""
+    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    keys = docs.select("doc_id", F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("_key")).groupBy("doc_id", "text_crc32", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    seen = placed.groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("_low"), F.max("shard").alias("_high"))
+    rows = keys.join(seen, keys.doc_id.eqNullSafe(seen.doc_id) & (keys.text_crc32 == seen.text_crc32))
+    groups = rows.groupBy("_key").agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high")).where("_n > 1")
+    largest = placed.groupBy("shard").count().agg(F.max("count").alias("_cap"))
+    return groups.join(F.broadcast(largest)).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("_n") <= F.col("_cap")).alias("n_fitting"), F.count_if(F.col("_low") == F.col("_high")).alias("n_whole"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))

@@ -87,6 +87,30 @@ def test_sharding_without_free_documents(spark):
     assert sum(len(s) > 1 for s in where.values()) <= 40  # by chance 75
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """Groups of 0.6 to 1 shard stay whole, one of 2.5 shards takes 3, a full table of pairs is cut nowhere."""
+    cases = [
+        ([30, 24, 24, 24, 18], [1] * 120, 8, {}),
+        ([75, 30, 20], [1] * 115, 8, {0: 3}),
+        ([2] * 100, [], 4, {}),
+        ([5] * 12, [1] * 20, 20, {k: 2 for k in range(12)}),
+    ]
+    for groups, alone, shards, over in cases:
+        texts = [f"g{k}" for k, n in enumerate(groups) for _ in range(n)] + [f"a{k}" for k in range(len(alone))]
+        rows = list(enumerate(texts))
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        out = sharding.shard(d, shards)
+        got = out.collect()
+        check_shards(got, rows, shards)
+        where = defaultdict(set)
+        for r in got:
+            where[texts[r.doc_id]].add(r.shard)
+        assert [len(where[f"g{k}"]) for k in range(len(groups))] == [over.get(k, 1) for k in range(len(groups))], groups
+        r = sharding.kept_whole(d, out).first()
+        cap = -(-len(rows) // shards)
+        assert (r.n_groups, r.n_fitting, r.n_whole) == (len(groups), sum(n <= cap for n in groups), len(groups) - len(over))
+
+
 def brute_groups(rows):
     sets = {}
     for d, t in sorted({(r[0], r[1]) for r in rows}, key=str):
