@@ -283,6 +283,14 @@ def keyed_upsert(spark, d):
     return versions.upsert(old, new, ("id",), ("size",))
 
 
+@query("""WITH n AS (SELECT conv_id AS id, count(*) AS size FROM conversations GROUP BY 1), o AS (SELECT doc_id AS id, n_chars AS size, source FROM documents)
+SELECT coalesce(o.id, n.id) AS id, coalesce(n.size, o.size) AS size, o.source FROM o FULL JOIN n ON o.id = n.id""")
+def keyed_upsert_all(spark, d):
+    """Both tables whole and by their own keys: no id is filtered or folded."""
+    old = tt.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), "source")
+    new = tt.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("size"), F.lit(None).cast("string").alias("source"))
+    return versions.upsert(old, new, ("id",), ("size",))
+
 # --- pages, layout, chunks --------------------------------------------------------------------------------------------------------
 
 LINES_SQL = """page_rows AS (SELECT doc_id // 4 AS document_id, doc_id % 4 + 1 AS page_number, text, CASE WHEN doc_id % 7 = 0 THEN 0.95::DOUBLE ELSE 0.1::DOUBLE END AS image_area_ratio FROM documents),
@@ -541,6 +549,14 @@ def settle_deliveries(spark, d):
     return jobs.settle(batch, None).select("job_id", "attempts", "outcome")
 
 
+@query("""WITH b AS (SELECT user_id AS job_id, count(*) AS n, bool_and(event_type = 'error') AS fail, bool_or(event_type = 'purchase') AS terminal FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1)
+SELECT job_id, n AS attempts, CASE WHEN NOT fail THEN 'done' WHEN terminal OR n >= 3 THEN 'dead' ELSE 'retry' END AS outcome FROM b""")
+def settle_all_deliveries(spark, d):
+    """Every delivery is settled: the error and purchase events are the deliveries, and none is left out by its id."""
+    e = tt.read(spark, d, "events").where("event_type in ('error', 'purchase')")
+    batch = e.select(F.col("user_id").alias("job_id"), F.lit(1).alias("organization_id"), F.lit(1).alias("document_id"), (F.col("event_type") == "error").alias("fail"), (F.col("event_type") == "purchase").alias("terminal"))
+    return jobs.settle(batch, None).select("job_id", "attempts", "outcome")
+
 def _catalog(spark, d):
     p = tt.read(spark, d, "part")
     k = F.col("p_partkey")
@@ -631,3 +647,11 @@ def progress_tail(spark, d):
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long")
     rows = tt.read(spark, d, "events").select("user_id", "event_id", seq.alias("seq"))
     return catalog.history_then_live(rows.limit(0), rows, 5)
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events")
+def progress_replay(spark, d):
+    """The history and the live rows overlap, as they do when a reader reconnects; every row comes once."""
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long")
+    rows = tt.read(spark, d, "events").select("user_id", "event_id", seq.alias("seq"))
+    return catalog.history_then_live(rows.where("seq <= 8"), rows.where("seq > 2"), 5)
