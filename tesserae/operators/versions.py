@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions import text as tx
 from tesserae.settings import GATES
 
 
@@ -116,8 +117,28 @@ def first_failure(checks: DataFrame) -> DataFrame:
     return checks.groupBy(*keys).agg(F.bool_and("passed").alias("passed"), F.min_by(F.when(~F.col("passed"), F.col("gate")), F.when(~F.col("passed"), order)).alias("failed_gate"))
 
 
-def gate_checks(stats: DataFrame, foreign: DataFrame, mismatch: DataFrame) -> DataFrame:
+def smoke_probes(chunks: DataFrame, words: int = 3) -> DataFrame:
+    """The search that must find each version: the first distinct words of its first chunk that isn't blank."""
+    first = chunks.where(F.trim("content") != "").groupBy("document_id", "version_number").agg(F.min_by("content", "ordinal").alias("_first"))
+    return first.select("document_id", "version_number", F.slice(F.array_distinct(tx.terms(F.col("_first"))), 1, words).alias("probe"))
+
+
+def smoke_hits(probes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Whether one indexed chunk of the version has all words of its probe; a version whose probe has no words isn't found."""
+    words = chunks.select("document_id", "version_number", "terms")
+    rows = probes.join(words, ["document_id", "version_number"], "left")
+    hit = (F.size("probe") > 0) & F.col("terms").isNotNull() & (F.size(F.array_except("probe", "terms")) == 0)
+    return rows.groupBy("document_id", "version_number").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("found"))
+
+
+def gate_checks(stats: DataFrame, foreign: DataFrame, mismatch: DataFrame, every: DataFrame | None = None, smoke: DataFrame | None = None) -> DataFrame:
+    """every: all versions, so that one without chunks fails chunk_count. smoke: found, for each version; without it smoke_retrieval isn't checked."""
+    if every is not None:
+        stats = every.select("document_id", "version_number").distinct().join(stats, ["document_id", "version_number"], "left")
+        stats = stats.fillna(0, ["n_chunks", "n_empty", "n_unembedded", "n_unindexed"])
     rows = stats.join(foreign, "document_id", "left").join(mismatch, "document_id", "left")
+    if smoke is not None:
+        rows = rows.join(smoke, ["document_id", "version_number"], "left")
     checks = {
         "chunk_count": F.col("n_chunks") > 0,
         "content": F.col("n_empty") == 0,
@@ -126,5 +147,7 @@ def gate_checks(stats: DataFrame, foreign: DataFrame, mismatch: DataFrame) -> Da
         "tenant_isolation": F.coalesce("n_foreign", F.lit(0)) == 0,
         "scope_consistency": F.coalesce("n_mismatch", F.lit(0)) == 0,
     }
+    if smoke is not None:
+        checks["smoke_retrieval"] = F.coalesce("found", F.lit(False))
     one = F.array(*(F.struct(F.lit(g).alias("gate"), c.alias("passed")) for g, c in checks.items()))
     return rows.select("document_id", "version_number", F.inline(one))

@@ -274,6 +274,18 @@ def gate_first_failure(spark, d):
     return versions.first_failure(versions.gate_checks(versions.validation_stats(c), versions.foreign_rows(c, owners), versions.scope_mismatch(c, owners)))
 
 
+@query(f"""WITH {tt.CHUNKS_SQL}, {OWNERS},
+s AS (SELECT document_id, version_number, count(*) AS nc, count(*) FILTER (WHERE e.vec_id IS NULL) AS ne, count(*) FILTER (WHERE len(terms) = 0) AS nt, arg_min(len(terms), ordinal) > 0 AS found FROM chunks LEFT JOIN embeddings e ON e.vec_id = doc_id GROUP BY ALL),
+f AS (SELECT document_id, count(*) FILTER (WHERE organization_id <> org) AS nf, count(*) FILTER (WHERE location_id IS DISTINCT FROM loc) AS nm FROM chunks JOIN owners USING (document_id) GROUP BY ALL),
+g AS (SELECT v.document_id, v.version_number, CASE WHEN nc IS NULL THEN 'chunk_count' WHEN ne > 0 THEN 'embeddings' WHEN nt > 0 THEN 'lexical_index' WHEN nf > 0 THEN 'tenant_isolation' WHEN nm > 0 THEN 'scope_consistency' WHEN NOT found THEN 'smoke_retrieval' END AS failed_gate
+  FROM (SELECT DISTINCT document_id, version_number FROM versions) v LEFT JOIN s USING (document_id, version_number) LEFT JOIN f USING (document_id))
+SELECT document_id, version_number, failed_gate IS NULL AS passed, failed_gate FROM g""")
+def gate_all_versions(spark, d):
+    """All seven gates over all versions, those without chunks too."""
+    owners, c, plain = _owners(spark, d), _with_vectors(spark, d), tt.chunks(spark, d)
+    smoke = versions.smoke_hits(versions.smoke_probes(plain), plain)
+    return versions.first_failure(versions.gate_checks(versions.validation_stats(c), versions.foreign_rows(c, owners), versions.scope_mismatch(c, owners), tt.versions(spark, d), smoke))
+
 @query("""WITH n AS (SELECT doc_id % 400 AS id, count(*) AS size FROM documents WHERE doc_id >= 100 GROUP BY 1), o AS (SELECT doc_id AS id, n_chars AS size, source FROM documents WHERE doc_id < 200)
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.size, o.size) AS size, o.source FROM o FULL JOIN n ON o.id = n.id""")
 def keyed_upsert(spark, d):

@@ -300,3 +300,13 @@ def test_whole_jobs_are_registered(spark, tmp_path):
     assert sum(r.attempts for r in run("settle_all_deliveries")) == 40
     assert sorted((r.id, r.size, r.source) for r in run("keyed_upsert_all")) == [(1, 2, "s"), (250, 251, "s"), (900, 2, "s"), (5000, 1, None)]
     assert sorted(r.event_id for r in run("progress_replay")) == list(range(40))
+
+
+def test_gates_of_versions_without_chunks_or_not_found(spark):
+    schema = "organization_id long, location_id long, document_id long, version_number long, ordinal long, content string, terms array<string>, embedding array<double>"
+    rows = [(1, None, 1, 1, 1, "Quiet rooms", ["quiet", "rooms"], [1.0]), (1, None, 2, 1, 1, "Pool hours", ["stale", "index"], [1.0])]
+    chunks = spark.createDataFrame(rows, schema)
+    every = spark.createDataFrame([(k, 1, 1, None) for k in (1, 2, 3)], "document_id long, version_number long, organization_id long, location_id long")
+    smoke = versions.smoke_hits(versions.smoke_probes(chunks), chunks)
+    checks = versions.gate_checks(versions.validation_stats(chunks), versions.foreign_rows(chunks, every), versions.scope_mismatch(chunks, every), every, smoke)
+    assert {r.document_id: (r.passed, r.failed_gate) for r in versions.first_failure(checks).collect()} == {1: (True, None), 2: (False, "smoke_retrieval"), 3: (False, "chunk_count")}
