@@ -4,7 +4,8 @@ Documents of equal text are linked. Labels (shards) start as an exactly even dea
 round, a join with the label counts of its group tells every linked document the shard where most of its neighbours
 are, and it moves there if the quota of that pair of shards allows: what the two shards exchange, plus the
 target's free room. Rounds go on until nothing moves or the groups are in no fewer pieces than before; then the groups
-that are still cut are lifted out and go whole into the rooms that this leaves, largest first. Documents without links have
+that are still cut are lifted out and go whole into the rooms that this leaves, largest first (the largest ``LIFTED`` of them; any
+more fill free places side by side, where a group may lie across two shards). Documents without links have
 no edge to cut and fill the places that are left, so that the law ``rows`` (counts at most one apart) holds exactly.
 
 Groups of more than an eighth of a shard (at most 8 * shards of them, or all groups where a shard has under 8 rows) start whole,
