@@ -8,17 +8,19 @@
    that occur once meet nobody and are skipped before any list is merged.
 3. Lists are merged in rounds over components. A star round joins the nodes outside a list's largest component with one member
    of that component and counts the collisions of each pair; those with most collisions are confirmed. The member changes from
-   round to round, so that nearly all of a group of near copies soon is one component. The last round takes all pairs of nodes
-   in *different* components of a list, which is all that is left to decide, so that no link between components is missed
-   however long the list is; left out are only pairs that cannot reach the similarity, given how many of its shingles each node
-   shares with any other.
-4. A pair that agrees on at least MATCH coordinates is confirmed on the full shingle sets of both texts; links make
+   round to round, so that nearly all of a group of near copies soon is one component.
+4. The nodes that still stand in a list with another component are merged by the rarest shingles of their full sets instead: sets
+   of n and n' shingles can only be similar if 7 * intersection >= 3 * (n + n'), so they share one of their n - 3 (n + n') / 7 + 1
+   rarest shingles. What is common to a group of near copies is frequent in it and stands in no such prefix; a node whose own changes are
+   its own has no list at all. So this round is exact, and what it merges grows with the number of nodes that share rare changes,
+   not with the square of the group.
+5. A pair that agrees on at least MATCH coordinates is confirmed on the full shingle sets of both texts; links make
    connected components by min-label propagation with pointer jumping.
 
 Defined cases: texts without words (null, empty, white space) have an empty set and are linked with nothing; fewer than five
-words are one shingle; doc_id names a document: of rows that share one, the row of the smallest text hash decides its links
-and all of them get its component; rows without doc_id get no component and are kept; an empty table gives no rows; extra
-columns are not read.
+words are one shingle. Rows that share a doc_id with different texts are judged text by text: each text has the component of its own
+class, whose id is the smallest doc_id in it. Rows without doc_id get no component and are kept; an empty table gives no rows; extra
+columns are not read by ``near_groups`` and passed through by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WordHashes, broadcast_if_small, cut, drop, table
+from .common import WordHashes, broadcast_if_small, cut, drop, global_rank, table
 
 K, MATCH, SHINGLE = 96, 55, 5
 FACTORS = (np.random.default_rng(5).integers(0, 1 << 63, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -66,19 +68,24 @@ def signature(hashes: np.ndarray, rows: int = 2048) -> np.ndarray:
         return (least * MIX + STEP).view(np.int64)  # differs between coordinates, so a value names its coordinate
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of rows that share a doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            n, key, sig = [], [], []
+            for text in batch.column("text").to_pylist():
                 got = shingles(text or "", hashes)
-                row = (doc, xxhash.xxh3_64_intdigest((text or "").encode()) >> 1, len(got), xxhash.xxh3_128_digest(got.tobytes()), signature(got) if len(got) else None)
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=SIGNED.names)
+                n.append(len(got))
+                key.append(xxhash.xxh3_128_digest(got.tobytes()) if len(got) else None)
+                sig.append(signature(got) if len(got) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, type=pa.int64()), pa.array(key, type=pa.binary()), pa.array(sig, type=pa.list_(pa.int64()))], names=SIGNED.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("th")).mapInArrow(run, SIGNED)
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -132,26 +139,32 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def _shared(texts: DataFrame) -> DataFrame:
-    """node, shared: how many of the node's shingles stand in another of these texts too."""
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """value, node, n, place: each set's shingles that stand in another of these sets too, as far as they are among its n - 3n/4 + 1
+    rarest (place counts from 1 in the order (frequency, shingle), shingles of one set only standing first)."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 got = shingles(text or "", hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), node)), pa.array(got.view(np.int64))], names=["node", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), node)), pa.array(np.full(len(got), len(got))), pa.array(got.view(np.int64))], names=["node", "n", "value"])
 
-    each = texts.select("node", "text").mapInArrow(run, "node long, shingle long")
-    often = cut(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("shingle"), "shared-shingles")
-    found = each.join(often, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    return texts.select("node").join(found, "node", "left").select("node", F.coalesce("shared", F.lit(0)).alias("shared"))
+    each = cut(texts.select("node", "text").mapInArrow(run, "node long, n long, value long"), "open-shingles")
+    often = cut(each.groupBy("value").agg(F.count(F.lit(1)).alias("freq"), F.min("n").alias("least")).where("freq > 1"), "shared-shingles")
+    by_node = W.partitionBy("node")
+    place = F.row_number().over(by_node.orderBy("freq", "value")) + F.col("n") - F.count(F.lit(1)).over(by_node)
+    placed = each.join(often, "value").withColumn("place", place)
+    # the smallest set that the list offers bounds what must be shared: 7 * intersection >= 3 * (n + n'), and n' >= 3n/4
+    out = cut(placed.where("7 * (n - place + 1) >= 3 * (n + greatest(least, 0.75 * n))").select("value", "node", "n", "place"), "rare-shingles")
+    drop(each, often)
+    return out
 
 
 def _split_lists(prefix: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
     """The postings of lists that still hold more than one component, with the list's largest component (of equal ones the one
     that a hash favours in this turn, the same in all lists)."""
-    placed = cut(prefix.join(comps, "node", "left").select("node", "value", "n", F.coalesce("comp", "node").alias("comp")), "placed")
+    placed = cut(prefix.join(comps, "node", "left").select(*prefix.columns, F.coalesce("comp", "node").alias("comp")), "placed")
     per_comp = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("_m"))
     main = per_comp.groupBy("value").agg(F.max(F.struct("_m", F.xxhash64(F.lit(turn), "comp").alias("_h"), "comp")).alias("_main"), F.count(F.lit(1)).alias("_comps"))
     main = cut(main.where("_comps > 1").select("value", F.col("_main.comp").alias("_main")), "main")
@@ -171,31 +184,44 @@ def _star(split: DataFrame, turn: int, by_value: bool, most: int) -> DataFrame:
     return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
+def _classes(rows: DataFrame) -> DataFrame:
+    """key, doc_id, th, node: each class of equal sets with its smallest (doc_id, th). The node is that doc_id; where rows that repeat
+    a doc_id with other texts make several classes of it, the others get names beyond the largest doc_id."""
+    named = rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("_first")).select("key", "_first.*")
+    named = cut(named, "classes")
+    firsts = named.groupBy("doc_id").agg(F.min(F.struct("th", "key")).alias("_own"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.col("_own.key").alias("_own"))
+    firsts = cut(firsts, "shared-ids")
+    if not firsts.limit(1).count():
+        drop(firsts)
+        return named.withColumn("node", F.col("doc_id"))
+    others = named.join(firsts, "doc_id").where("key <> _own").select("key", F.xxhash64("key").alias("_h"))
+    top = named.agg(F.max("doc_id").alias("_top"))
+    other = global_rank(others, "_h", ["key"], "_rank").select("key", "_rank")
+    other = other.join(F.broadcast(top)).select("key", (F.col("_top") + 1 + F.col("_rank")).alias("_node"))
+    return cut(named.join(other, "key", "left").select("key", "doc_id", "th", F.coalesce("_node", "doc_id").alias("node")), "classes")
+
+
+def row_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n, group, component_id for every row of docs: group names the component of the row's text, component_id is the
+    smallest doc_id in it; both are null for rows without doc_id or without words."""
     spark = docs.sparkSession
     rows = cut(signatures(docs), "signatures")
-    named = rows.where("doc_id is not null")
-    first = named.groupBy("doc_id").agg(F.min("th").alias("th"))
-    who = named.drop("sig").join(first, ["doc_id", "th"]).dropDuplicates(["doc_id"])
-    who = cut(who.select("doc_id", "th", "n", "key"), "documents")
-    classes = cut(who.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
-    reps = who.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "th")
-    sigs = cut(named.join(reps, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n", "sig"), "class-signatures")
+    classes = _classes(rows)
+    reps = classes.select("doc_id", "th", "node")
+    sigs = rows.where("n > 0").select("doc_id", "th", "sig").dropDuplicates(["doc_id", "th"]).join(reps, ["doc_id", "th"]).select("node", "sig")
+    sigs = cut(sigs, "class-signatures")
     postings = sigs.select("node", F.explode("sig").alias("value"))
-    often = postings.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    met = cut(postings.join(cut(often, "frequencies"), "value"), "postings")
+    often = cut(postings.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "frequencies")
     by_node = W.partitionBy("node")
     rarest = F.row_number().over(by_node.orderBy("freq", "value")) + K - F.count(F.lit(1)).over(by_node)
-    prefix = met.withColumn("_place", rarest).where(F.col("_place") <= K - MATCH + 1).select("node", "value")
-    prefix = cut(prefix.join(sigs.select("node", "n"), "node"), "prefixes")
-    ids = prefix.select("node").distinct()
-    wanted = who.join(ids, who["doc_id"] == ids["node"], "left_semi").select("doc_id", "th")
-    wanted = broadcast_if_small(cut(wanted, "candidates"), 200_000)
-    texts = docs.select("doc_id", "text").withColumn("_x", F.xxhash64("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-    # rows that repeat a doc_id with another text are told apart by the class's own text hash, computed as in signatures()
-    texts = cut(_first_text(texts, who), "texts")
-    short = cut(sigs.select("node", F.transform("sig", lambda x: F.shiftright(x, 32).cast("int")).alias("short")).join(ids, "node", "left_semi"), "short-signatures")
+    prefix = cut(postings.join(often, "value").withColumn("_place", rarest).where(F.col("_place") <= K - MATCH + 1).select("node", "value"), "prefixes")
+    drop(often)
+    ids = cut(prefix.select("node").distinct(), "candidates")
+    short = cut(sigs.join(ids, "node", "left_semi").select("node", F.transform("sig", lambda x: F.shiftright(x, 32).cast("int")).alias("short")), "short-signatures")
+    drop(sigs)
+    wanted = broadcast_if_small(cut(reps.join(ids, "node", "left_semi"), "wanted"), 200_000)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
+    texts = cut(texts.join(wanted, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
     links, comps = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long")
     for turn, (by_value, most) in enumerate(TURNS):
         split = _split_lists(prefix, comps, turn)
@@ -205,38 +231,44 @@ def near_groups(docs: DataFrame) -> DataFrame:
         comps = components(links)
         drop(split)
     split = _split_lists(prefix, comps, len(TURNS))
-    # what a node shares with any other bounds what it shares with one: a link needs 7 * intersection >= 3 * (n + n')
-    split = cut(split.join(_shared(texts.join(split.select("node").distinct(), "node", "left_semi")), "node"), "open-lists")
-    aside = split.where("comp <> _main").select("value", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
-    pairs = aside.where("7 * sx >= 5 * nx").join(split.where("7 * shared >= 5 * n"), "value").where("comp <> cx and (comp = _main or x < node) and 7 * least(shared, sx) >= 3 * (n + nx)")
+    rare = rare_shingles(texts.join(split.select("node").distinct(), "node", "left_semi"))
+    drop(split, prefix)
+    lists = _split_lists(rare, comps, len(TURNS))
+    aside = lists.where("comp <> _main").select("value", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    reach = "7 * (least(nx - px, n - place) + 1) >= 3 * (n + nx)"
+    pairs = aside.join(lists, "value").where(f"comp <> cx and (comp = _main or x < node) and {reach}")
     pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     last = _confirm(pairs, short, texts)
+    drop(lists, rare, short, texts)
     comps = components(links.unionByName(last))
-    tree = cut(classes.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("component_id")), "class-components")
-    whole = cut(who.join(tree, "key", "left").select("doc_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "components")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    tree = cut(classes.join(comps, "node", "left").select("key", "doc_id", F.coalesce("comp", "node").alias("group")), "class-components")
+    least = tree.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    tree = tree.select("key", "group").join(least, "group")
+    return rows.drop("sig").join(tree, "key", "left").select("doc_id", "th", "n", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("group", "component_id")))
 
 
-def _first_text(texts: DataFrame, who: DataFrame) -> DataFrame:
-    """node, text: of the rows that share a doc_id the one that decides its links."""
-
-    def run(batches):
-        for batch in batches:
-            th = [xxhash.xxh3_64_intdigest((t or "").encode()) >> 1 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(th, type=pa.int64()), batch.column("text")], names=["node", "th", "text"])
-
-    hashed = texts.select("doc_id", "text").mapInArrow(run, "node long, th long, text string")
-    return hashed.withColumn("_row", F.row_number().over(W.partitionBy("node").orderBy("th"))).where("_row = 1").select("node", "text")
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    component = F.coalesce("component_id", "doc_id")
+    return row_groups(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each group of near duplicates, with all their columns."""
-    gone = cut(near_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc")).select("_doc", F.col("_doc.doc_id").alias("_id"))
-    first = rows.withColumn("_row", F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("_doc.text"))))
-    first = first.where("_id is null or _row = 1")
-    return first.join(gone, first["_id"] == gone["_gone"], "left_anti").select("_doc.*")
+    """The rows of docs that stay, with all their columns: of each group of near duplicates one row, that of the smallest (doc_id, text
+    hash), and of rows equal in both the one whose other columns have the smallest hash; rows without words or without doc_id all stay."""
+    texts = cut(row_groups(docs).where("group is not null").groupBy("group", "doc_id", "th").agg(F.count(F.lit(1)).alias("_times")), "grouped-texts")
+    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("_first"))
+    marked = texts.join(first, "group").withColumn("_stays", F.struct("doc_id", "th") == F.col("_first"))
+    gone = cut(marked.where("not _stays").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "dropped")
+    again = cut(marked.where("_stays and _times > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "repeated")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc")).select("_doc", F.col("_doc.doc_id").cast("long").alias("_id"), text_hash(F.col("_doc.text")).alias("_th"))
+    same = (F.col("_id") == F.col("_d")) & (F.col("_th") == F.col("_t"))
+    out = rows.join(gone, same, "left_anti")
+    if again.limit(1).count():
+        each = out.join(again, same, "left_semi")
+        one = each.withColumn("_row", F.row_number().over(W.partitionBy("_id", "_th").orderBy(F.xxhash64("_doc")))).where("_row = 1").drop("_row")
+        out = out.join(again, same, "left_anti").unionByName(one)
+    return out.select("_doc.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -208,3 +209,38 @@ def test_mixing(docs, rows, empty):
     assert Counter((r.doc_id, r.copy_no) for r in again) == Counter((r.doc_id, r.copy_no) for r in got)
     assert mixing.mix(empty).count() == 0
     assert {r.source for r in mixing.mix(docs, epochs=10.0).collect()} == {"s0", "s1", "s2", None}
+
+
+def test_near_dedup_one_doc_id_with_several_texts(spark):
+    """Every text is judged by itself: none is lost with the doc_id that it shares, and repeated rows leave one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "p"), (1, b, "q"), (3, b, "r"), (2, c, "s"), (2, a + " z", "t"), (1, a, "u"), (7, None, "v"), (7, "", "w"), (None, a, "x"), (None, a, "y"), (-5, b + " y", "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _doc string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(d).collect())
+    want = [(1, 36, 1, True), (1, 36, -5, False), (3, 36, -5, False), (2, 36, 2, True), (2, 37, 1, False), (1, 36, 1, True), (7, 0, 7, True), (7, 0, 7, True), (None, 36, None, True), (None, 36, None, True), (-5, 37, -5, True)]
+    assert got == Counter(want)
+    kept = near_dedup.keep_one(d)
+    assert kept.columns == d.columns
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert left == Counter([(1, a), (2, c), (-5, b + " y"), (7, None), (7, ""), (None, a), (None, a)])
+
+
+def test_near_dedup_many_rows_without_doc_id(spark):
+    d = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "concat('one two three four five ', id) as text")
+    assert near_dedup.keep_one(d.unionByName(spark.createDataFrame([(1, "one two three four five 1")], "doc_id long, text string"))).count() == 10_001
+
+
+def test_near_dedup_frequent_changes(spark):
+    """Copies of one text with changes from a small stock, so that changes are shared by copies that are not alike."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(220):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 5, 8, 12))):
+            at = rng.randrange(0, 120, 3)
+            w[at] = f"x{at}" if rng.random() < 0.7 else f"own{k}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_groups(rows)
+    assert got == want and 10 < len({w[1] for w in want.values()}) < 210
