@@ -1,7 +1,8 @@
 """Shared pieces of the training-data operators: scratch tables, ranks, word and token caches.
 
 Scratch tables go to the folder that the session names in ``spark.checkpoint.dir``, which the
-driver and all executors share; only where that is unset (tests, a laptop) is a temporary folder used.
+driver and all executors share. Where that is unset, a local session (tests, a laptop) gets a temporary folder; any other
+session stops with an error.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder; set to a temporary one only where the session has none."""
+    """The shared folder; set to a temporary one only where the session has none and runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set, and the executors of {master} share no temporary folder")
         base = f"file://{tempfile.mkdtemp(prefix='scratch')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -84,9 +88,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column | None, rows: int, max_bytes: int) -> list:
-    """At most ``rows`` labelled documents, chosen by a hash of doc_id, for fitting a model on the driver. Half of the
-    places go to each class where there are enough. Documents of over max_bytes are passed over for fitting only."""
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 3000, 1 << 16
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column | None, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> list:
+    """At most ``rows`` labelled documents (doc_id, text, label), chosen by a hash of doc_id, for fitting a model on the driver. Half of
+    the places go to each class where there are enough. Texts of over ``text_bytes`` are passed over for fitting only, so the driver
+    gets rows * text_bytes at most (197 MB by default). Of rows that share a doc_id one text is taken, that of the smallest hash; of
+    several labels of a doc_id the largest counts; null labels and labels other than 0 and 1 are not used."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if train is not None:
         known = known.where(train)
@@ -95,8 +104,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     for k in (0, 1):
         part = known.where(F.col("_label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         picked = part if picked is None else picked.unionByName(part)
-    chosen = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes).join(F.broadcast(picked), "doc_id")
-    return [(r[0], r[1] or "", r[2]) for r in chosen.select("doc_id", "text", "_label").collect()]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= text_bytes)
+    chosen = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")))
+    return sorted(((r[0], r[2], r[1]) for r in chosen.collect()), key=lambda r: r[0])
 
 
 class WordHashes(dict):

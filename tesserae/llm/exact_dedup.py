@@ -91,12 +91,13 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
 
 
 def keep_unique(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. Of rows equal in doc_id and text, the one whose whole row has the smallest
+    hash stays."""
     kept = exact_dedup(docs, block_bytes).where("kept").select(*KEY)
     rows = docs.select(F.struct(*docs.columns).alias("_doc"))  # whatever the columns are called, they don't clash
     text = ascii_lower(F.col("_doc.text"))
     rows = rows.select("_doc", F.col("_doc.doc_id").alias("doc_id"), F.octet_length(text).alias("_len"), F.xxhash64(text).alias("_h"))
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy(*KEY).orderBy(F.lit(0)))).where("_copy = 1")
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy(*KEY).orderBy(F.xxhash64("_doc")))).where("_copy = 1")
     same = F.lit(True)
     for k in KEY:
         same = same & rows[k].eqNullSafe(kept[k])

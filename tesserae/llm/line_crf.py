@@ -18,10 +18,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample, table
+from .common import SAMPLE_ROWS, crc_mod, labelled_sample, table
 from .scoring import judged, logistic, sigmoid, with_score
 
-ROWS = 3000  # bound of the labelled sample
 BINS = 8
 SYMBOLS, UPPERS, DIGITS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789"
 LETTERS, HIGH, STOPS = bytes(range(65, 91)) + bytes(range(97, 123)), bytes(range(128, 256)), b".,;:?"
@@ -166,8 +165,8 @@ class Model:
         return sigmoid(np.concatenate(out) * self.scale[0] + self.scale[1]) if out else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train=None, rows: int = ROWS) -> Model:
-    return Model().fit(labelled_sample(docs, labels, "quality", train, rows, 1 << 18))
+def fit(docs: DataFrame, labels: DataFrame, train=None, rows: int = SAMPLE_ROWS) -> Model:
+    return Model().fit(labelled_sample(docs, labels, "quality", train, rows))
 
 
 def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

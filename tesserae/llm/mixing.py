@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import broadcast_if_small, cut, table
 
@@ -30,14 +29,15 @@ def _uniform(*parts: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, epochs: float, piece: float) -> DataFrame:
     """For each source: n, rate, parts and the Poisson distribution function of one part."""
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(docs.groupBy("source").agg(F.count(F.lit(1)).alias("_n")), "source-counts")
     weight = F.pow(F.col("_n").cast("double"), F.lit(alpha))
     if weights:
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    whole = W.partitionBy(F.lit(0))  # one row for each source
-    out = counts.withColumn("_w", weight).withColumn("_rate", F.col("_w") / F.sum("_w").over(whole) * F.sum("_n").over(whole) * F.lit(float(epochs)) / F.col("_n"))
+    weighed = counts.withColumn("_w", weight)
+    all_w, all_n = weighed.agg(F.sum("_w"), F.sum("_n")).first()
+    out = weighed.withColumn("_rate", F.col("_w") / F.lit(all_w or 1.0) * F.lit(all_n or 0) * F.lit(float(epochs)) / F.col("_n"))
     out = out.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / F.lit(piece))).cast("int"))
     mean = F.col("_rate") / F.col("_parts")
     terms = F.aggregate(
@@ -49,9 +49,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, epoch
     return out.select(F.col("source").alias("_source"), "_rate", "_parts", terms.alias("_cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, piece: float = 8.0) -> DataFrame:
-    """All columns of docs, with n_copies, copy_no and the hashed place (which take the place of columns so called), in
-    globally shuffled order.
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, piece: float = 8.0) -> DataFrame:
+    """_doc (a struct of all columns of docs), n_copies, copy_no and the hashed place, in globally shuffled order.
 
     weights: target share of each source; without them a source of n rows gets a share in proportion to n ** alpha.
     """
@@ -63,9 +62,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     joined = joined.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b))
     copies = joined.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     place = F.md5(F.concat_ws(":", F.lit(f"place{seed}"), who, F.col("copy_no").cast("string")).cast("binary"))
+    return copies.select("_doc", "n_copies", "copy_no", place.alias("place")).repartitionByRange("place").sortWithinPartitions("place")
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """All columns of docs, with n_copies, copy_no and place (which take the place of columns so called); ``how`` as in replicate."""
     own = ("n_copies", "copy_no", "place")
-    copies = copies.select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c.lower() not in own), "n_copies", "copy_no", place.alias("place"))
-    return copies.repartitionByRange("place").sortWithinPartitions("place")
+    return replicate(docs, **how).select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c.lower() not in own), *own)
+
+
+def mix_rows(docs: DataFrame, **how) -> DataFrame:
+    """The columns of docs alone, whatever they are called, each row as often as drawn; ``how`` as in replicate."""
+    return replicate(docs, **how).select("_doc.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

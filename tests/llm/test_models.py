@@ -118,12 +118,28 @@ def test_rule_counts(docs, rows, empty, models):
     assert quality_rules.judge(empty, forest).count() == 0
 
 
-def test_toxic_list_and_ordinary_samples_are_whole(monkeypatch):
+def test_toxic_margins_are_those_of_compressed_windows(models):
+    """Every window compressed anew, with each dictionary by itself in the compressor."""
+    import zstandard as zs
+
+    tox = models[1]
+    assert tox.toxic and tox.ordinary and tox.toxic not in tox.ordinary
+    plain, both = (zs.ZstdCompressor(level=toxicity.LEVEL, write_content_size=False, dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT)) for d in (tox.ordinary, tox.toxic + tox.ordinary))
+    texts = [r[1] for r in labelled(7, 60)] + ["", "one", "vilewordone " * 500]
+    for t, got in zip(texts, tox.margins(texts), strict=True):
+        words, units = t.encode().lower().split(), toxicity.Units(tox.opening)
+        want = []
+        for i in range(0, len(words), tox.window):
+            w = b"".join(units[x] for x in words[i : i + tox.window])
+            want.append(len(plain.compress(w)) - len(both.compress(w)))
+        assert got.tolist() == want
+
+
+def test_toxic_dictionaries_are_trained_on_their_own_windows(monkeypatch):
     seen, train = [], toxicity._train
-    monkeypatch.setattr(toxicity, "_train", lambda size, samples: seen.append(len(samples)) or train(size, samples))
-    marks = [f"vile{i}" for i in range(600)]
-    rows = [(i, " ".join(["plain", "words"] * 5000), 0) for i in range(21)] + [(100 + i, " ".join(marks), 1) for i in range(5)]
-    model = toxicity.Model(window=1, opening=12).fit(rows)
-    assert seen == [21 * 10_000]
-    units = toxicity.Units(12)
-    assert len(model.toxic) == 8 * 600 and all(units[w.encode()] in model.toxic for w in marks)
+    monkeypatch.setattr(toxicity, "_train", lambda size, samples: seen.append((size, len(samples))) or train(size, samples))
+    rows = [(i, " ".join(["plain", "words"] * 5000), 0) for i in range(21)] + [(100 + i, " ".join(f"vile{j}" for j in range(600)), 1) for i in range(6)]
+    toxicity.Model(window=1, opening=12).fit(rows, toxic_bytes=(8192,), turns=1)
+    *halves, ordinary, one, two, last = seen  # two halves for calibration, then the whole sample
+    assert len(halves) == 8 and halves[0][1] + halves[4][1] == 21 * 10_000
+    assert ordinary == (1 << 15, 21 * 10_000) and one[1] + two[1] == 6 * 600 and last == (8192, 6 * 600)
