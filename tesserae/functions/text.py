@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.settings import INJECTION, TOPIC_STOPWORDS
+from tesserae.settings import HEADING_NUMBERS, INJECTION, TOPIC_STOPWORDS
 
 SENTENCE_END = r"(?<=[.!?。！？])\s+"
 
@@ -56,9 +56,17 @@ def token_estimate(text: Column) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(F.floor(n / F.lit(3.5)) + 1).cast("long")
 
 
+def normalize_heading(heading: Column) -> Column:
+    """A heading's words: without number, chapter word and edge punctuation, white space single."""
+    out = F.trim(heading)
+    for pattern in HEADING_NUMBERS:
+        out = F.regexp_replace(out, pattern, "")
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), r"^[ :\-–—.]+|[ :\-–—.]+$", "")
+
+
 def topic_tokens(heading: Column) -> Column:
     """Sorted distinct topic words: stop words go first, then the plural s of words longer than three letters."""
-    kept = F.filter(terms(heading), lambda x: ~x.isin(*TOPIC_STOPWORDS))
+    kept = F.filter(terms(normalize_heading(heading)), lambda x: ~x.isin(*TOPIC_STOPWORDS))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.when(F.length(x) > 3, F.regexp_replace(x, "s+$", "")).otherwise(x))))
 
 

@@ -2,7 +2,7 @@
 
 A lower level's hit is hidden when its topic set equals a claimed set of a higher level, or one strictly contains the other;
 sets that only overlap, and empty sets, hide nothing. Claims of one level never act on that level. Pairs for the containment
-test come from an equi-join on single tokens (equal or contained non-empty sets share one), not from all pairs.
+test come from an equi-join on single tokens (equal or contained non-empty sets share one) of each level's best 2 * top_k hits.
 """
 
 from __future__ import annotations
@@ -14,6 +14,13 @@ from pyspark.sql import Window as W
 from tesserae.settings import PRECEDENCE, Retrieval
 
 
+def best_of_levels(hits: DataFrame, s: Retrieval = Retrieval()) -> DataFrame:
+    """What the merge looks at: the best 2 * top_k hits of each query and level."""
+    levels = by_precedence(hits)
+    place = F.row_number().over(W.partitionBy("query_id", "precedence").orderBy(F.desc("score"), "chunk_id"))
+    return levels.withColumn("_place", place).where(F.col("_place") <= 2 * s.top_k).drop("_place")
+
+
 def by_precedence(hits: DataFrame) -> DataFrame:
     """Hits with their level's precedence; a chunk seen on two levels counts for the higher one."""
     level = F.when(F.col("location_id").isNull(), PRECEDENCE["ORGANIZATION"]).otherwise(PRECEDENCE["LOCATION"])
@@ -33,17 +40,17 @@ def suppressions(hits: DataFrame) -> DataFrame:
 
 def merge(hits: DataFrame, s: Retrieval = Retrieval()) -> DataFrame:
     """The top_k of each query after hiding, location hits boosted: query_id, chunk_id, score, precedence, place."""
-    levels = by_precedence(hits)
+    levels = best_of_levels(hits, s)
     gone = suppressions(levels)
-    boosted = F.when(F.col("precedence") > 0, F.round(F.col("score") * s.location_boost, 6)).otherwise(F.col("score"))
+    boosted = F.when(F.col("precedence") > 0, F.col("score") * s.location_boost).otherwise(F.col("score"))
     kept = levels.join(gone.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", boosted)
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("precedence"), "chunk_id")).cast("long")
-    return kept.withColumn("place", place).where(F.col("place") <= s.top_k).select("query_id", "chunk_id", "score", "precedence", "place")
+    return kept.withColumn("place", place).where(F.col("place") <= s.top_k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "precedence", "place")
 
 
 def override_counts(hits: DataFrame) -> DataFrame:
-    """How many hits each claimed topic hid."""
-    levels = by_precedence(hits)
-    gone = suppressions(levels)
-    topic = levels.select("query_id", F.col("chunk_id").alias("claimed_by"), F.array_join(F.array_sort("topic"), " ").alias("topic_key"))
-    return gone.join(topic, ["query_id", "claimed_by"]).groupBy("query_id", "topic_key").agg(F.count(F.lit(1)).alias("n_hidden"))
+    """query_id, topic_key (the hidden hit's topic words joined by -), winner (the level that hid it) and how many hits it hid."""
+    levels = best_of_levels(hits)
+    key = F.array_join(F.array_sort("topic"), "-")
+    gone = suppressions(levels).join(levels.select("query_id", "chunk_id", key.alias("topic_key")), ["query_id", "chunk_id"])
+    return gone.groupBy("query_id", "topic_key").agg(F.lit("LOCATION").alias("winner"), F.count(F.lit(1)).alias("n_hidden"))

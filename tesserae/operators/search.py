@@ -61,7 +61,7 @@ def scoped(chunks: DataFrame, filters: Filters) -> DataFrame:
 
 def vector_arm(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
     """chunk_id, vector_score of the k most similar chunks that have a vector."""
-    score = F.round(vx.cosine(F.col("embedding"), vx.literal(query)), 6)
+    score = vx.cosine(F.col("embedding"), vx.literal(query))
     return chunks.where("embedding is not null").select("chunk_id", score.alias("vector_score")).orderBy(F.desc_nulls_last("vector_score"), "chunk_id").limit(k)
 
 
@@ -77,7 +77,7 @@ def keyword_arm(chunks: DataFrame, query: list[str], k: int, match_all: bool = F
     """chunk_id, keyword_score of the k best chunks with any (or all) of the query's terms."""
     q = F.array(*(F.lit(t) for t in query))
     match = F.size(F.array_except(q, "terms")) == 0 if match_all else F.arrays_overlap("terms", q)
-    return chunks.where(match).select("chunk_id", F.round(keyword_score(F.col("terms"), query), 6).alias("keyword_score")).orderBy(F.desc_nulls_last("keyword_score"), "chunk_id").limit(k)
+    return chunks.where(match).select("chunk_id", keyword_score(F.col("terms"), query).alias("keyword_score")).orderBy(F.desc_nulls_last("keyword_score"), "chunk_id").limit(k)
 
 
 def ranked(arm: DataFrame, score: str, rank: str) -> DataFrame:
@@ -89,7 +89,7 @@ def fuse_rrf(vec: DataFrame, kw: DataFrame, s: Retrieval = Retrieval()) -> DataF
     """Weighted reciprocal ranks of both arms; a missing arm adds nothing."""
     both = ranked(vec, "vector_score", "vector_rank").join(ranked(kw, "keyword_score", "keyword_rank"), "chunk_id", "full")
     part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(float(s.rrf_k)) + F.col(r)), F.lit(0.0))
-    return both.withColumn("score", F.round(part(s.vector_weight, "vector_rank") + part(s.keyword_weight, "keyword_rank"), 6))
+    return both.withColumn("score", part(s.vector_weight, "vector_rank") + part(s.keyword_weight, "keyword_rank"))
 
 
 def min_max(col: str) -> Column:
@@ -103,7 +103,7 @@ def fuse_weighted(vec: DataFrame, kw: DataFrame, s: Retrieval = Retrieval()) ->
     total = s.vector_weight + s.keyword_weight
     v, k = vec.withColumn("_v", min_max("vector_score")), kw.withColumn("_k", min_max("keyword_score"))
     score = F.coalesce(F.col("_v"), F.lit(0.0)) * (s.vector_weight / total) + F.coalesce(F.col("_k"), F.lit(0.0)) * (s.keyword_weight / total)
-    return v.join(k, "chunk_id", "full").withColumn("score", F.round(score, 6)).drop("_v", "_k")
+    return v.join(k, "chunk_id", "full").withColumn("score", score).drop("_v", "_k")
 
 
 def hybrid(chunks: DataFrame, filters: Filters, vector: list[float] | None, query: list[str], s: Retrieval = Retrieval(), fusion: str = "rrf", columns: tuple = ("document_id", "version_number", "ordinal", "location_id")) -> DataFrame:

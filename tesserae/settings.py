@@ -28,6 +28,7 @@ class Ocr:
     native_coverage: float = 0.80
     ocr_coverage: float = 0.20
     scanned_image_area: float = 0.85
+    scanned_max_chars: int = 50
     max_ocr_pages: int = 500
 
 
@@ -69,6 +70,9 @@ TOPIC_STOPWORDS = (
 #: Numbered headings: 3.2.1, IV., A), Chapter 5 and the like, and CJK articles.
 NUMBERING = r"(?i)^\s*(?:\d+(?:\.\d+){0,3}[.)]?|[IVXLC]+[.)]|[A-Z][.)]|(?:Chapter|Section|Article|Appendix|Part)\s+[\dIVXLC]+|第\s*\d+\s*[条章節項])\s+\S"
 
+#: What stands before the words of a heading: 3. or IV) or B., and Chapter 5: and the like.
+HEADING_NUMBERS = (r"^\s*(?:\d+(?:\.\d+)*|[IVXLC]+|[A-Z])[.)]\s*", r"(?i)^\s*(?:Chapter|Section|Article|Appendix|Part)\s+[\dIVXLC]+[:.\s-]*")
+
 #: Phrases that try to rewrite the prompt.
 INJECTION = (
     r"(?i)\bignore\s+(?:all\s+|any\s+)?(?:previous|prior|above)\s+instructions?\b",
@@ -81,6 +85,7 @@ INJECTION = (
 HIGH_STAKES = ("legal", "hr", "safety", "compliance", "medical")
 CHEAP_TASKS = ("classify", "rewrite", "title", "plan")
 TIERS = ("fast", "balanced", "quality")
-STAGES = ("QUEUED", "PARSING", "OCR", "CLEANING", "CHUNKING", "EMBEDDING", "INDEXING", "VALIDATING", "ACTIVATING", "DONE")
+#: Stages of a job in order, with the share of the way that is done after each.
+STAGES = {"UPLOADED": 0.05, "PARSING": 0.20, "OCR": 0.35, "CLEANING": 0.45, "CHUNKING": 0.55, "EMBEDDING": 0.80, "INDEXING": 0.90, "VALIDATING": 0.95, "ACTIVATING": 0.99, "COMPLETED": 1.0}
 GATES = ("chunk_count", "content", "embeddings", "lexical_index", "tenant_isolation", "scope_consistency", "smoke_retrieval")
 PRECEDENCE = {"ORGANIZATION": 0, "LOCATION": 100}

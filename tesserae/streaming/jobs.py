@@ -71,10 +71,13 @@ def queue_stats(deliveries: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """The furthest stage of each job and its share of the way; late or repeated events never take a job back."""
-    rank = F.array_position(F.array(*(F.lit(s) for s in STAGES)), F.col("stage"))
-    out = events.where(rank > 0).groupBy("job_id").agg(F.max(F.struct(rank.alias("r"), "stage")).alias("_s"), F.count(F.lit(1)).alias("n_events"))
-    return out.select("job_id", F.col("_s.stage").alias("stage"), F.round(F.col("_s.r") / F.lit(float(len(STAGES))), 6).alias("progress"), "n_events")
+    """The furthest stage of each job and its share of the way; late or repeated events never take a job back. A job with a FAILED
+    event is at FAILED, its way over."""
+    done = F.create_map(*(F.lit(x) for kv in STAGES.items() for x in kv))
+    share = F.when(F.col("stage") == "FAILED", 1.0).otherwise(F.try_element_at(done, F.col("stage")))
+    last = F.struct((F.col("stage") == "FAILED").alias("f"), share.alias("p"), "stage")
+    out = events.where(share.isNotNull()).groupBy("job_id").agg(F.max(last).alias("_s"), F.count(F.lit(1)).alias("n_events"))
+    return out.select("job_id", F.col("_s.stage").alias("stage"), F.col("_s.p").alias("progress"), "n_events")
 
 
 def rate_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:

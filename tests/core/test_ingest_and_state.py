@@ -30,6 +30,19 @@ def test_ocr_gate(spark):
     assert len(decision(spark, [""] * 40, Ocr(max_ocr_pages=5))[1]) == 5
 
 
+def test_ocr_gate_of_the_reference_cases(spark):
+    """Sixty characters on an image are no scan; control characters are broken text; a document without pages is native."""
+    good = [f"{GOOD} page {i}" for i in range(4)]
+    assert decision(spark, ["x" * 60 + f" {i}" for i in range(4)], area=0.95)[0] == "OCR"  # for want of usable text
+    assert decision(spark, good, area=0.95)[0] == "NATIVE"
+    assert decision(spark, [t + "\x01" * 60 for t in good])[0] == "OCR"
+    none = spark.createDataFrame([], "document_id long, page_number long, text string, image_area_ratio double, has_fonts boolean")
+    r = ocr_gate.decide(ocr_gate.with_repeats(ocr_gate.page_stats(none)), documents=spark.createDataFrame([(7,)], "document_id long")).first()
+    assert (r.document_id, r["mode"], r.coverage, r.n_pages, r.ocr_pages, r.reasons) == (7, "NATIVE", 0.0, 0, [], ["empty_document"])
+    d = ocr_gate.event_detail(ocr_gate.decide(ocr_gate.with_repeats(ocr_gate.page_stats(spark.createDataFrame([(1, i, "", 0.0, True) for i in range(1, 71)], none.schema))))).first()
+    assert (len(d.ocr_pages), d.n_ocr_pages, d.reasons) == (50, 70, "insufficient_text")
+
+
 def test_ocr_overlay(spark):
     pages = spark.createDataFrame([(1, 1, "own"), (1, 2, "own")], "document_id long, page_number long, text string")
     ocr = spark.createDataFrame([(1, 1, "seen"), (1, 2, " ")], "document_id long, page_number long, ocr_text string")
@@ -68,12 +81,40 @@ def test_windows_respect_the_cap_and_overlap(spark):
 
 
 def test_split_ladder():
-    assert structure.split_block("a b", 10) == ["a b"]
-    assert structure.split_block("aaaa bbbb.\n\ncccc dddd.", 4) == ["aaaa bbbb.", "cccc dddd."]
-    parts = structure.split_block("w" * 5 + " " + " ".join("w" * 5 for _ in range(40)), 10)
+    assert structure.split_text("a b", 10) == ["a b"]
+    assert structure.split_text("aaaa bbbb.\n\ncccc dddd.", 4) == ["aaaa bbbb.", "cccc dddd."]
+    parts = structure.split_text("w" * 5 + " " + " ".join("w" * 5 for _ in range(40)), 10)
     assert len(parts) > 3 and " ".join(parts).split() == ["wwwww"] * 41
-    assert structure.size_levels([18.0, 17.9997, 14.0]) == pytest.approx([17.99985, 14.0])
-    assert [structure.level_of(t, 10, [18.0, 14.0]) for t in ("3.2.1 Title", "Title")] == [3, 3]
+    assert structure.closing("One is here. Two is here. Three is here.", 9) == "Two is here. Three is here." and structure.closing("A sentence far over the budget.", 1) != ""
+
+
+def scored_lines(spark, rows):
+    """rows: (text, font, page, x1)"""
+    lines = spark.createDataFrame([(1, p, i, t, 0.0, x1, i * 14.0, i * 14.0 + 10, f, 0.0, 4.0) for i, (t, f, p, x1) in enumerate(rows)], structure.LINES)
+    return structure.heading_scores(lines, structure.layout_stats(lines), structure.repeating_lines(lines))
+
+
+def test_font_levels_and_numbers(spark):
+    """Levels come from all large lines, not from headings alone; sizes within 0.4 are one level; numbers win over fonts."""
+    body = [("ordinary text that goes on and on, as text does, and on", 10.0, 1, 300.0)] * 6
+    rows = [("Large but a sentence, with a comma,", 24.0, 1, 150.0), ("First", 18.0, 1, 50.0), *body, ("Second", 17.9997, 1, 50.0), ("Deep", 14.0, 1, 50.0), ("2.1.3 Numbered", 18.0, 1, 50.0)]
+    scored = scored_lines(spark, rows)
+    levels = structure.font_levels(scored).first().levels
+    assert levels == pytest.approx([24.0, 18.0, 14.0])
+    got = {r.text: r.level for r in structure.outline(scored).where("is_heading").collect()}
+    assert got == {"Large but a sentence, with a comma,": 1, "First": 2, "Second": 2, "Deep": 3, "2.1.3 Numbered": 3} or got == {"First": 2, "Second": 2, "Deep": 3, "2.1.3 Numbered": 3}
+
+
+def test_paths_paragraphs_and_pages(spark):
+    rows = [("Guide", 18.0, 1, 50.0), ("one two three", 10.0, 1, 300.0), ("goes on to the next page.", 10.0, 2, 300.0), ("Part", 14.0, 2, 50.0), ("text of the part", 10.0, 2, 300.0), ("Other", 18.0, 3, 50.0), ("last", 10.0, 3, 300.0)]
+    secs = structure.section_rows(structure.outline(scored_lines(spark, rows))).orderBy("section").collect()
+    assert [(r.path, [(b.text, b.page_from, b.page_to) for b in r.blocks]) for r in secs] == [
+        (["Guide"], [("one two three goes on to the next page.", 1, 2)]),
+        (["Guide", "Part"], [("text of the part", 2, 2)]),
+        (["Other"], [("last", 3, 3)]),
+    ]
+    spans = structure.page_spans(structure.section_rows(structure.outline(scored_lines(spark, rows)))).collect()
+    assert sorted((r.path, r.page_from, r.page_to) for r in spans) == [(["Guide"], 1, 2), (["Guide", "Part"], 2, 2), (["Other"], 3, 3)]
 
 
 def test_running_headers(spark):
@@ -168,15 +209,15 @@ def models(spark):
 @pytest.mark.parametrize(
     ("request_", "want"),
     [
-        (routing.Request("answer"), ("mid-local", "balanced")),
+        (routing.Request("answer"), ("mid-local", "default_balanced")),
         (routing.Request("title"), ("small-local", "cheap_task")),
-        (routing.Request("answer", needs_tools=True), ("small-local", "tools_smallest")),
+        (routing.Request("answer", needs_tools=True), ("small-local", "tool_capable")),
         (routing.Request("answer", document_types=("legal",)), ("big-cloud", "high_stakes")),
         (routing.Request("answer", require_local=True, document_types=("legal",)), ("mid-local", "high_stakes")),
-        (routing.Request("answer", prompt_tokens=100_000), ("big-cloud", "balanced")),
+        (routing.Request("answer", prompt_tokens=100_000), ("big-cloud", "default_any")),
         (routing.Request("answer", pins={"*": "q/cheap-cloud"}, prefer_model="big-cloud"), ("cheap-cloud", "org_pin")),
         (routing.Request("answer", prefer_model="big-cloud"), ("big-cloud", "caller_preference")),
-        (routing.Request("answer", prefer_model="big-cloud", allowed_providers=("p",)), ("mid-local", "balanced")),
+        (routing.Request("answer", prefer_model="big-cloud", allowed_providers=("p",)), ("mid-local", "default_balanced")),
         (routing.Request("title", needs_json=True, require_local=True), ("mid-local", "cheap_task")),
     ],
 )
@@ -191,6 +232,16 @@ def test_routing_relaxes_the_window_and_may_find_nothing(models):
     assert routing.route(models, routing.Request("answer", allowed_providers=("none",))).count() == 0
 
 
+def test_routing_prefers_local_at_equal_cost_and_names_fallbacks(spark):
+    rows = [(i, p, n, t, v, 32_000, True, True, True, True, 1.0, 1.0) for i, (p, n, t, v) in enumerate([("c", "far", "fast", "cloud"), ("l", "near", "fast", "local"), ("c", "big", "quality", "cloud"), ("l", "big2", "quality", "local"), ("c", "x", "fast", "cloud")])]
+    m = spark.createDataFrame(rows, "position long, provider string, name string, tier string, privacy string, context_window long, is_available boolean, supports_tools boolean, supports_json boolean, supports_streaming boolean, cost_in double, cost_out double")
+    one = lambda r: tuple(routing.route(m, r).select("name", "rule", "fallbacks").first())
+    assert one(routing.Request("title")) == ("near", "cheap_task", ["c/far", "c/big", "l/big2"])
+    assert one(routing.Request("answer", document_types=("legal",))) == ("big2", "high_stakes", ["c/far", "l/near", "c/big"])
+    assert one(routing.Request("answer"))[:2] == ("big", "default_any")
+    assert one(routing.Request("answer", pins={"answer": "nowhere/x"}, prefer_model="x"))[:2] == ("x", "caller_preference")
+
+
 def test_small_routing_rules(spark):
     e = spark.createDataFrame([(1, datetime.fromisoformat("2024-01-01 00:00:10")), (1, datetime.fromisoformat("2024-01-01 00:00:50")), (1, datetime.fromisoformat("2024-01-01 00:01:00"))], "user_id long, ts timestamp")
     assert sorted((r.n_requests, r.n_rejected) for r in routing.rate_windows(e, 1).collect()) == [(1, 0), (2, 1)]
@@ -255,7 +306,7 @@ def test_queue_helpers(spark):
     assert [r.job_id for r in jobs.stale(d).collect()] == [1]
     assert tuple(jobs.queue_stats(d).first()) == (3, 2, 400_000, 1)
     ev = spark.createDataFrame([(1, "EMBEDDING"), (1, "PARSING"), (1, "nonsense")], "job_id long, stage string")
-    assert tuple(jobs.progress(ev).first()) == (1, "EMBEDDING", 0.6, 2)
+    assert tuple(jobs.progress(ev).first()) == (1, "EMBEDDING", 0.8, 2)
     rows = spark.createDataFrame([(1, 3, "FAILED"), (2, 2, "DONE"), (3, 1, "FAILED")], "job_id long, attempts int, status string")
     got = {r.job_id: (r.attempts, r.status) for r in jobs.requeue(rows, rows.where("job_id < 3")).collect()}
     assert got == {1: (0, "QUEUED"), 2: (2, "DONE"), 3: (1, "FAILED")}

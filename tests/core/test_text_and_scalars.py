@@ -61,17 +61,26 @@ def test_injection(spark):
     assert one(spark, tx.injection_flags(F.col("t")), t="what are the instructions for the sauna?") == []
 
 
-@pytest.mark.parametrize(("text", "want"), [("1 + 2 * 3", 7), ("round(45000 / 3, 2)", 15000), ("-2 ** 2", -4), ("sqrt(16) + pi - pi", 4), ("7 // 2 % 2", 1), ("sum(1, 2, 3)", 6)])
+@pytest.mark.parametrize(("text", "want"), [("1 + 2 * 3", 7), ("round(45000 / 3, 2)", 15000), ("-2 ** 2", -4), ("sqrt(16) + pi - pi", 4), ("7 // 2 % 2", 1), ("sum(1, 2, 3)", 6), ("sum([1, 2])", 3), ("max((1, 5))", 5), ("2 ** 3 ** 2", 512), ("2 ** -1", 0.5), ("-7 // 2", -4), ("-7 % 3", 2), (".5e1 * (1 + 1)", 10)])
 def test_calculator(text, want):
     assert pu.calculate(text) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("text", ["__import__('os')", "x + 1", "1 / 0", "9 ** 9999", "(1).real", "'a' * 3", "1 +", "True + 1", "max(1, key=2)", "1" * 600])
+@pytest.mark.parametrize("text", ["__import__('os')", "x + 1", "1 / 0", "9 ** 9999", "(1).real", "'a' * 3", "1 +", "True + 1", "max(1, key=2)", "1" * 600, "", "[1]", "(1, 2)", "3 4", "1 _ 2", "sum"])
 def test_calculator_refuses(text):
     with pytest.raises(ValueError):
         pu.calculate(text)
 
 
+def test_headings(spark):
+    norm = lambda t: one(spark, tx.normalize_heading(F.col("t")), t=t)
+    cases = {"3. Breakfast": "Breakfast", "3.2.1) Fees": "Fees", "IV. Pets": "Pets", "B) Bar": "Bar", "Chapter 5: The  pool": "The pool", " – Notes: ": "Notes", "2024 was good": "2024 was good"}
+    for t, want in cases.items():
+        assert norm(t) == want and pu.normal_heading(t) == want
+    assert one(spark, tx.topic_key(F.col("t")), t="3. Breakfast") == "breakfast"
+    assert pu.section_digest(["1. Ｆｅｅｓ"]) == pu.section_digest(["2. fees"])
+
+
 def test_python_scalars(spark):
     assert pu.slug("Café & Bar — Größe 2") == "cafe-bar-groe-2" and pu.slug("朝食") == "document"
     assert pu.section_digest(["A", " b  C"]) == pu.section_digest(["a", "B c"]) and len(pu.section_digest(["a"])) == 16
