@@ -83,3 +83,82 @@ def history_then_live(history: DataFrame, live: DataFrame, cursor: int) -> DataF
 
 def trimmed_audit(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"user_agent": F.substring("user_agent", 1, 256), "message": F.substring("message", 1, 1000)})
+
+
+class NotFound(KeyError):
+    """No such row, or one of another tenant: a caller can't tell which."""
+
+
+def require(df: DataFrame, organization_id, **key) -> DataFrame:
+    """The rows of one key within the tenant; NotFound if there are none. A row of another tenant counts as none."""
+    rows = tenant(df, organization_id)
+    for name, value in key.items():
+        rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    if rows.isEmpty():
+        raise NotFound(tuple(key.values()))
+    return rows
+
+
+def chunks_by_ids(chunks: DataFrame, organization_id, ids: DataFrame) -> DataFrame:
+    """The chunks of ids (chunk_id) that belong to the tenant; no ids, no rows."""
+    return tenant(chunks, organization_id).join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def section(chunks: DataFrame, organization_id, document_id, section_key, active_only: bool = True) -> DataFrame:
+    """A section's chunks in order."""
+    rows = tenant(chunks, organization_id).where((F.col("document_id") == document_id) & (F.col("section_key") == section_key))
+    return (rows.where("is_active") if active_only else rows).orderBy("ordinal")
+
+
+def by_slug(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Live documents of asked (organization_id, location_id, slug); a null location is a value of its own."""
+    d, a = documents.where("not is_deleted").alias("d"), asked.select("organization_id", "location_id", "slug").distinct().alias("a")
+    same = (F.col("d.organization_id") == F.col("a.organization_id")) & (F.col("d.slug") == F.col("a.slug")) & F.col("d.location_id").eqNullSafe(F.col("a.location_id"))
+    return d.join(a, same, "left_semi")
+
+
+def active_version(versions: DataFrame) -> DataFrame:
+    return versions.where("status = 'ACTIVE'")
+
+
+def jobs(rows: DataFrame, organization_id, status: str | None = None, document_id=None) -> DataFrame:
+    """A tenant's jobs, of one status and one document where asked."""
+    out = tenant(rows, organization_id)
+    out = out if status is None else out.where(F.col("status") == status)
+    return out if document_id is None else out.where(F.col("document_id") == document_id)
+
+
+def locations(rows: DataFrame, organization_id, pinned=None) -> DataFrame:
+    """Active locations by name; a caller who is pinned to one sees that alone."""
+    out = tenant(rows, organization_id).where("is_active")
+    return out if pinned is None else out.where(F.col("location_id") == pinned)
+
+
+def public_organizations(rows: DataFrame) -> DataFrame:
+    """What anyone may read of organisations: three columns of those active and public."""
+    return rows.where("is_active and is_public").select("organization_id", "name", "slug")
+
+
+def visible_organizations(rows: DataFrame, organization_id=None, platform: bool = False) -> DataFrame:
+    """A platform operator sees all organisations, anyone else their own, and nobody's caller none."""
+    return rows if platform else tenant(rows, organization_id)
+
+
+def audit(rows: DataFrame, organization_id, action: str | None = None) -> DataFrame:
+    out = tenant(rows, organization_id)
+    return out if action is None else out.where(F.col("action") == action)
+
+
+def narrowed(pinned, asked):
+    """The location a caller works in: one pinned to a location can't move, others go where they ask."""
+    if pinned is not None and asked is not None and asked != pinned:
+        raise PermissionError("the caller is pinned to another location")
+    return pinned if pinned is not None else asked
+
+
+def settings(rows: DataFrame, column: str = "settings") -> DataFrame:
+    """Pins (map) and allowed providers (array) of organisations' JSON settings; what isn't of the right type counts as absent."""
+    text = lambda path: F.get_json_object(column, path)
+    pins = F.when(F.substring(F.trim(text("$.model_pins")), 1, 1) == "{", F.from_json(text("$.model_pins"), "map<string,string>"))
+    allowed = F.when(F.substring(F.trim(text("$.allowed_providers")), 1, 1) == "[", F.from_json(text("$.allowed_providers"), "array<string>"))
+    return rows.withColumns({"model_pins": F.coalesce(pins, F.create_map().cast("map<string,string>")), "allowed_providers": F.coalesce(allowed, F.array().cast("array<string>"))})

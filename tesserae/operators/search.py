@@ -6,8 +6,10 @@ TakeOrderedAndProject, so no arm is sorted as a whole.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,8 +30,13 @@ class Filters:
     languages: tuple = ()
     document_ids: tuple = ()
     exclude_chunk_ids: tuple = ()
+    document_types: tuple = ()
     extra: tuple = field(default=())
 
+    def for_scope(self, location_id: int | None) -> Filters:
+        """The same filters for one level alone: the organisation's own chunks (None), or one location's."""
+        return replace(self, location_id=location_id, scope="ORG_ONLY" if location_id is None else "LOCATION_ONLY")
+
     def predicate(self) -> Column:
         loc = F.col("location_id")
         out = F.col("organization_id") == self.organization_id
@@ -55,8 +62,23 @@ class Filters:
         return out
 
 
-def scoped(chunks: DataFrame, filters: Filters) -> DataFrame:
-    return chunks.where(filters.predicate())
+def scoped(chunks: DataFrame, filters: Filters, documents: DataFrame | None = None) -> DataFrame:
+    """The chunks that a search may see. With the documents (document_id, is_deleted, document_type): only those of live documents, whatever
+    the filters say of inactive versions, and of the filters' document types."""
+    seen = chunks.where(filters.predicate())
+    if documents is None:
+        if filters.document_types:
+            raise ValueError("document types need the documents")
+        return seen
+    live = documents.where("not is_deleted").select("document_id", "document_type")
+    if filters.document_types:
+        live = live.where(F.col("document_type").isin(*filters.document_types))
+    return seen.join(live, "document_id")
+
+
+def candidate_k(top_k: int) -> int:
+    """How many candidates an arm gives."""
+    return max(4 * top_k, 50)
 
 
 def vector_arm(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -126,3 +148,53 @@ def rrf_across(hits: DataFrame, k: int = 60) -> DataFrame:
 
 def max_across(hits: DataFrame) -> DataFrame:
     return hits.groupBy("chunk_id").agg(F.max("score").alias("score"), F.max_by("rewrite", F.struct(F.col("score"), -F.col("rewrite"))).alias("best_rewrite"))
+
+
+def vector_batch(rows: DataFrame, queries: DataFrame, k: int, block: int = 2048, width: int = 256) -> DataFrame:
+    """query_id, row_id, score, place: the k rows (row_id, embedding) most similar to each of a table of queries (query_id, embedding), exactly.
+
+    Rows and queries are dealt into blocks of about ``block`` and ``width``; each pair of blocks is one matrix product in a task, of which only
+    k rows for each query leave it, and these are merged. So a task holds two blocks whatever the tables' sizes, and what is shuffled
+    is k rows for each query and block of rows. Null, zero and odd-sized vectors are left out; equal scores (to 12 places) are
+    ordered by row_id."""
+
+    def blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // size))
+        dealt = df.where("embedding is not null").withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
+        return dealt.groupBy(name).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(f"_{name}"))
+
+    def unit(items: list) -> tuple[np.ndarray, np.ndarray]:
+        size = max((len(x["v"]) for x in items), default=0)
+        kept = [x for x in items if len(x["v"]) == size]
+        m = np.array([x["v"] for x in kept], dtype=np.float64).reshape(len(kept), size)
+        norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+        ok = norm > 0
+        return np.array([x["id"] for x in kept], dtype=np.int64)[ok], m[ok] / norm[ok, None]
+
+    def run(batches):
+        for batch in batches:
+            for r, q in zip(batch.column("_rb").to_pylist(), batch.column("_qb").to_pylist(), strict=True):
+                (ids, x), (asked, y) = unit(r), unit(q)
+                if not len(ids) or not len(asked) or x.shape[1] != y.shape[1]:
+                    continue
+                s = np.round(y @ x.T, 12)
+                out = [np.lexsort((ids, -line))[:k] for line in s]
+                take = np.concatenate(out)
+                who = np.repeat(np.arange(len(asked)), [len(o) for o in out])
+                yield pa.RecordBatch.from_arrays([pa.array(asked[who]), pa.array(ids[take]), pa.array(s[who, take])], names=["query_id", "row_id", "score"])
+
+    pairs = blocks(rows, "row_id", block, "rb").select("_rb").crossJoin(blocks(queries, "query_id", width, "qb").select("_qb"))  # of blocks, not of rows
+    met = pairs.mapInArrow(run, "query_id long, row_id long, score double")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "row_id")).cast("long")
+    return met.withColumn("place", place).where(F.col("place") <= k)
+
+
+def keyword_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, place: the k best chunks (chunk_id, terms) for each of a table of queries (query_id, terms): one join of query
+    terms with the chunks' postings (term, chunk, how often), summed before the cut."""
+    postings = chunks.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("_n"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    hits = asked.join(postings, "term").groupBy("query_id", "chunk_id").agg((F.sum("_n") * 0.4).alias("_r"))
+    scored = hits.select("query_id", "chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("score"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")
+    return scored.withColumn("place", place).where(F.col("place") <= k)

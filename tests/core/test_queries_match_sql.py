@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tesserae import queries
+from tesserae import state_queries  # noqa: F401  (adds its queries)
 
 DATA = "/root/testdata/sf0.001"
 
