@@ -56,10 +56,14 @@ def _propagate(state: DataFrame, quota_base: list[int], shards: int) -> tuple[Da
     if not moved:
         drop(quotas)
         return state, 0
-    asked = state.join(moves.drop("_n"), ["_group", "shard"]).withColumn("_row", F.row_number().over(W.partitionBy("shard", "_to").orderBy(F.col("_gain").desc(), "_group", "_h", "doc_id")))
-    placed = asked.join(F.broadcast(quotas), ["shard", "_to"], "left")
-    go = (F.col("shard") != F.col("_to")) & (F.col("_row") <= F.coalesce("_quota", F.lit(0)))
-    new = cut(placed.withColumn("shard", F.when(go, F.col("_to")).otherwise(F.col("shard"))).select(*state.columns), "labels")
+    # the quota is dealt to (group, shard) counts by a prefix sum; of its rows only those of a count that is met in part are numbered, one count for each pair of shards
+    before = F.sum("_n").over(W.partitionBy("shard", "_to").orderBy(F.col("_gain").desc(), "_group")) - F.col("_n")
+    dealt = moves.where("shard <> _to").join(F.broadcast(quotas), ["shard", "_to"]).withColumn("_may", F.least("_n", F.col("_quota") - before)).where("_may > 0")
+    asked = state.join(dealt.select("_group", "shard", "_to", "_may", "_n"), ["_group", "shard"], "left")
+    some = asked.where("_may < _n").withColumn("_row", F.row_number().over(W.partitionBy("_group", "shard").orderBy("_h", "doc_id")))
+    some = some.withColumn("shard", F.when(F.col("_row") <= F.col("_may"), F.col("_to")).otherwise(F.col("shard")))
+    rest = asked.where("_may is null or _may = _n").withColumn("shard", F.coalesce("_to", "shard"))
+    new = cut(rest.select(*state.columns).unionByName(some.select(*state.columns)), "labels")
     drop(quotas)
     return new, moved
 

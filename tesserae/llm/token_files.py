@@ -5,6 +5,8 @@ of about ``segment`` ids and writes one row for each segment: the coded payload
 in it. The files are written by Spark's own committer, so a lost executor leaves no half-written file, and they go where only Spark can
 write. Reading decodes each segment by itself, checks every block's checksum, and looks up the documents in the index.
 
+Ids above id_codec.MAX_ID (262142) are refused with an error: larger vocabularies need wider classes.
+
 Defined cases: a null text counts as empty; an empty text is one id (the end id); rows that repeat a doc_id stand one after the
 other; null doc_ids come first; a document is never split between segments, whatever its length; an empty table gives no
 rows; extra columns are not read.
@@ -12,6 +14,7 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import id_codec
-from .common import ByteBpe, broadcast_if_small, cut, runs, table, token_cache
+from .common import ByteBpe, broadcast_if_small, runs, scratch_dir, table, token_cache
 
 END = 2
 SEGMENTS = T.StructType([
@@ -69,10 +72,20 @@ def encode_documents(docs: DataFrame, tokenizer: str, segment: int = id_codec.BL
         if raws:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, SEGMENTS)
 
 
+def write_files(docs: DataFrame, tokenizer: str, path: str) -> None:
+    """Writes the files of docs to a folder. The payloads are dense already, so Parquet compresses nothing again."""
+    encode_documents(docs, tokenizer).write.option("compression", "uncompressed").parquet(path)
+
+
+def read_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (with_ids) the ids of each document in the files of a folder."""
+    return digests(spark.read.schema(SEGMENTS).parquet(path), with_ids)
+
+
 def decode_documents(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row for each document in the files, with its ids if asked for."""
     schema = T.StructType([f for f in DOCS.fields if with_ids or f.name != "ids"])
@@ -94,17 +107,18 @@ def decode_documents(files: DataFrame, with_ids: bool = False) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def digests(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 for each document of files that have been written."""
+def digests(files: DataFrame, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 for each document of files that have been written, and its ids if asked for."""
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("_n"))  # one row for each partition written
     before = sizes.select(F.col("part").alias("_part"), (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("_n")).alias("_before"))
-    docs = decode_documents(files)
+    docs = decode_documents(files, with_ids)
     joined = docs.join(broadcast_if_small(before, 100_000), F.col("part") == F.col("_part"))
-    return joined.select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    return joined.select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    files = cut(encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "token-files")
-    return digests(files)
+    path = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return read_files(spark, path, with_ids=False)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tesserae.llm import id_codec, packing, token_files
-from tesserae.llm.common import ByteBpe, WordBpe
+from tesserae.llm.common import ByteBpe, WordBpe, cut
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a\t b", "  x  y\n\n z ", "don't 's it's", "<|endoftext|> a<|endoftext|>", "\x1cx y", "é .", "", " ", "\n\n", "A.B. c., D,. 1. #. .,a", "x\r\ny", "  x", "İstanbul ΣΑΣ. ", "!!! ... ,"]
@@ -111,7 +111,7 @@ def test_token_files(docs, rows, empty):
     from collections import Counter
 
     order = sorted(rows, key=lambda r: r[0])
-    got = sorted(token_files.digests(token_files.cut(token_files.encode_documents(docs, BYTES, segment=3000), "t")).collect(), key=lambda r: r.start)
+    got = sorted(token_files.digests(cut(token_files.encode_documents(docs, BYTES, segment=3000), "t")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [r[0] for r in order]
     for r in got:
         assert r.start == start
@@ -123,4 +123,21 @@ def test_token_files(docs, rows, empty):
     files = token_files.encode_documents(docs, BYTES)
     back = {r.doc_id: r.ids for r in token_files.decode_documents(files, with_ids=True).collect()}
     assert back[0] == plain(BYTES, next(r[1] for r in rows if r[0] == 0), 2)
-    assert token_files.digests(token_files.cut(token_files.encode_documents(empty, BYTES), "t")).count() == 0
+    assert token_files.digests(cut(token_files.encode_documents(empty, BYTES), "t")).count() == 0
+
+
+def test_files_of_a_folder_round_trip(spark, docs, rows, tmp_path):
+    """Whole ids of every document, in ascending doc_id order, from files written and read by path."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_files(docs, name, f"{tmp_path}/files")
+    got = token_files.read_files(spark, f"{tmp_path}/files").orderBy("start").collect()
+    tok = Tokenizer.from_file(name)
+    want = sorted((r[0], tuple([*tok.encode(r[1] or "", add_special_tokens=False).ids, 2])) for r in rows)
+    assert sorted((r.doc_id, tuple(r.ids)) for r in got) == want and [r.doc_id for r in got] == [d for d, _ in want]
+    at = 0
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += r.n_tokens

@@ -41,3 +41,28 @@ def test_stages(spark, tmp_path):
     total = {(r.doc_id, r.doc_tokens) for r in seen[4][2].collect()}
     assert tokens == Counter({d: n * sum(r.doc_id == d for r in mixed) for d, n in total})
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, place string, n_copies string, copy_no string, _doc string, _row string"
+
+
+def test_stages_with_clashing_columns_null_ids_and_repeats(spark, tmp_path):
+    rows = [(d, t) for d, t, *_ in labelled(5, 60)]
+    rows += [(None, rows[1][1]), (None, rows[1][1]), rows[2], (3, "another text that shares an id with the third"), (901, None)]
+    docs = spark.createDataFrame([(d, t, "en", None, 1, "mine", "a", "b", "c", "d") for d, t in rows], NAMES)
+    spark.createDataFrame([(d, q, x) for d, _, q, x in labelled(5, 60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+        else:
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert got and all((r.place, r.n_copies, r.copy_no, r._doc, r._row) == ("mine", "a", "b", "c", "d") for r in got), name
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], NAMES)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
