@@ -1,7 +1,8 @@
 """Ingestion jobs as an at-least-once stream, with retries, dead letters, progress, rate limits, breakers and expiring memory.
 
 Micro-batches are applied by idempotent keyed writes, so a batch that is delivered again changes nothing. State that depends on what
-came before a key (stage machine, breaker, memory) is applyInPandasWithState, bounded by a timeout.
+came before a key is applyInPandasWithState: the stage machine and the memory forget idle keys after a timeout, the breaker keeps a few numbers for each
+provider.
 """
 
 from __future__ import annotations
@@ -80,6 +81,35 @@ def progress(events: DataFrame) -> DataFrame:
     return out.select("job_id", F.col("_s.stage").alias("stage"), F.col("_s.p").alias("progress"), "n_events")
 
 
+def stage_machine(events: DataFrame, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """A stream of job events (job_id, seq, kind, stage) with each job's attempts, stage, progress and status after every batch.
+
+    A start counts an attempt and begins the way anew; a stage that lies behind the job's own is late and changes nothing; nothing but a start
+    takes a job out of COMPLETED or FAILED. Jobs idle for idle_ms are forgotten. The state is three values a job."""
+    rank = {s: i for i, s in enumerate(STAGES)}
+
+    def fold(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        attempts, stage, status = state.get if state.exists else (0, "", "QUEUED")
+        seen = sorted({(int(r.seq), r.kind, r.stage if isinstance(r.stage, str) else "") for f in frames for r in f.itertuples()})
+        for _, kind, to in seen:
+            if kind == "start":
+                attempts, stage, status = attempts + 1, to, "RUNNING"
+            elif status == "RUNNING" and kind == "stage" and rank.get(to, -1) > rank.get(stage, -1):
+                stage = to
+            elif status == "RUNNING" and kind in ("complete", "fail"):
+                status = "COMPLETED" if kind == "complete" else "FAILED"
+                stage = "COMPLETED" if kind == "complete" else stage
+        state.update((attempts, stage, status))
+        state.setTimeoutDuration(idle_ms)
+        done = 1.0 if status == "FAILED" else STAGES.get(stage, 0.0)
+        yield pd.DataFrame({"job_id": [key[0]], "attempts": [attempts], "stage": [stage or None], "progress": [done], "status": [status]})
+
+    return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, attempts long, stage string, progress double, status string", "attempts long, stage string, status string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def rate_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:
     """Requests a minute by user over a stream with event time ts; the watermark bounds the state."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "user_id").agg(F.count(F.lit(1)).alias("n_requests")).select(F.col("window.start").alias("minute"), "user_id", "n_requests")
@@ -137,6 +167,13 @@ def requeue(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     return jobs.join(hit, "job_id", "left").withColumn("attempts", F.when(again, 0).otherwise(F.col("attempts"))).withColumn("status", F.when(again, "QUEUED").otherwise(F.col("status"))).drop("_ask")
 
 
+def requeue_versions(versions: DataFrame, again: DataFrame) -> DataFrame:
+    """FAILED versions of the jobs that go back to the queue (document_id, version_number) are PROCESSING again; others stay."""
+    hit = again.select("document_id", "version_number").distinct().withColumn("_ask", F.lit(True))
+    back = F.coalesce("_ask", F.lit(False)) & (F.col("status") == "FAILED")
+    return versions.join(hit, ["document_id", "version_number"], "left").withColumn("status", F.when(back, "PROCESSING").otherwise(F.col("status"))).drop("_ask")
+
+
 def ordered_frames(events: DataFrame) -> DataFrame:
     """Server-sent event frames in order within a job."""
     n = F.row_number().over(W.partitionBy("job_id").orderBy("seq"))

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -271,6 +272,7 @@ def stream(spark, tmp_path, schema, batches):
     src.mkdir()
     for i, rows in enumerate(batches):
         (src / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(src / f"{i}.json", (10**9 + i, 10**9 + i))  # files are read in order of their times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
 
 
@@ -282,6 +284,22 @@ def drain(df, tmp_path, mode):
     return out
 
 
+def test_stage_machine(spark, tmp_path):
+    ev = lambda job, seq, kind, stage=None: {"job_id": job, "seq": seq, "kind": kind, "stage": stage}
+    files = [
+        [ev(1, 1, "start", "PARSING"), ev(1, 2, "stage", "CHUNKING"), ev(1, 3, "stage", "OCR"), ev(2, 1, "stage", "OCR")],
+        [ev(1, 4, "fail"), ev(1, 5, "stage", "INDEXING"), ev(2, 2, "start", "PARSING"), ev(2, 3, "complete")],
+        [ev(1, 6, "start", "PARSING"), ev(2, 3, "complete")],
+    ]
+    got = drain(jobs.stage_machine(stream(spark, tmp_path, "job_id long, seq long, kind string, stage string", files)), tmp_path, "update")
+    of = lambda job: [(r.attempts, r.stage, r.progress, r.status) for r in got if r.job_id == job]
+    assert of(1) == [(1, "CHUNKING", 0.55, "RUNNING"), (1, "CHUNKING", 1.0, "FAILED"), (2, "PARSING", 0.2, "RUNNING")]
+    assert of(2) == [(0, None, 0.0, "QUEUED"), (1, "COMPLETED", 1.0, "COMPLETED"), (1, "COMPLETED", 1.0, "COMPLETED")]
+    v = spark.createDataFrame([(1, 1, "FAILED"), (1, 2, "FAILED"), (2, 1, "ACTIVE")], "document_id long, version_number long, status string")
+    again = {(r.document_id, r.version_number): r.status for r in jobs.requeue_versions(v, v.where("version_number = 1")).collect()}
+    assert again == {(1, 1): "PROCESSING", (1, 2): "FAILED", (2, 1): "ACTIVE"}
+
+
 def test_breaker(spark, tmp_path):
     call = lambda at, ok: {"provider": "p", "at": at, "ok": ok}
     calls = [call(float(i), False) for i in range(5)] + [call(6.0, True), call(25.0, False), call(30.0, True), call(46.0, True), call(47.0, True)]
