@@ -102,6 +102,13 @@ def keyword_arm(chunks: DataFrame, query: list[str], k: int, match_all: bool = F
     return chunks.where(match).select("chunk_id", keyword_score(F.col("terms"), query).alias("keyword_score")).orderBy(F.desc_nulls_last("keyword_score"), "chunk_id").limit(k)
 
 
+def posting_arm(postings: DataFrame, query: list[str], k: int, match_all: bool = False) -> DataFrame:
+    """keyword_arm from postings (term, chunk_id, n): the same rows, without reading a chunk."""
+    each = postings.where(F.col("term").isin(*query)).groupBy("chunk_id").agg((F.sum("n") * 0.4).alias("_r"), F.count(F.lit(1)).alias("_met"))
+    met = each.where(F.col("_met") == len(set(query))) if match_all else each
+    return met.select("chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("keyword_score")).orderBy(F.desc_nulls_last("keyword_score"), "chunk_id").limit(k)
+
+
 def ranked(arm: DataFrame, score: str, rank: str) -> DataFrame:
     """Ranks within a cut arm: at most candidate_k rows."""
     return arm.withColumn(rank, F.row_number().over(W.orderBy(F.desc_nulls_last(score), "chunk_id")).cast("long"))
@@ -128,11 +135,12 @@ def fuse_weighted(vec: DataFrame, kw: DataFrame, s: Retrieval = Retrieval()) ->
     return v.join(k, "chunk_id", "full").withColumn("score", score).drop("_v", "_k")
 
 
-def hybrid(chunks: DataFrame, filters: Filters, vector: list[float] | None, query: list[str], s: Retrieval = Retrieval(), fusion: str = "rrf", columns: tuple = ("document_id", "version_number", "ordinal", "location_id")) -> DataFrame:
-    """The top_k hits with both arms' scores, the arms' candidate counts and the named columns of the chunks."""
+def hybrid(chunks: DataFrame, filters: Filters, vector: list[float] | None, query: list[str], s: Retrieval = Retrieval(), fusion: str = "rrf", columns: tuple = ("document_id", "version_number", "ordinal", "location_id"), postings: DataFrame | None = None) -> DataFrame:
+    """The top_k hits with both arms' scores, the arms' candidate counts and the named columns of the chunks. With postings, the keyword arm reads
+    these instead of the chunks."""
     seen = scoped(chunks, filters)
     vec = vector_arm(seen, vector, s.candidate_k) if vector is not None else vector_arm(seen.limit(0), [0.0], 1)
-    kw = keyword_arm(seen, query, s.candidate_k)
+    kw = keyword_arm(seen, query, s.candidate_k) if postings is None else posting_arm(scoped(postings, filters), query, s.candidate_k)
     fused = {"rrf": fuse_rrf, "weighted": fuse_weighted}[fusion](vec, kw, s)
     whole = W.partitionBy(F.lit(0))  # at most 2 * candidate_k rows
     fused = fused.withColumn("n_vector", F.count("vector_score").over(whole)).withColumn("n_keyword", F.count("keyword_score").over(whole))
@@ -189,12 +197,11 @@ def vector_batch(rows: DataFrame, queries: DataFrame, k: int, block: int = 2048,
     return met.withColumn("place", place).where(F.col("place") <= k)
 
 
-def keyword_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, place: the k best chunks (chunk_id, terms) for each of a table of queries (query_id, terms): one join of query
-    terms with the chunks' postings (term, chunk, how often), summed before the cut."""
-    postings = chunks.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("_n"))
+def keyword_batch(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, place: the k best chunks for each of a table of queries (query_id, terms): one join of query terms with
+    postings (term, chunk_id, n), summed before the cut."""
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = asked.join(postings, "term").groupBy("query_id", "chunk_id").agg((F.sum("_n") * 0.4).alias("_r"))
+    hits = asked.join(postings.select("term", "chunk_id", "n"), "term").groupBy("query_id", "chunk_id").agg((F.sum("n") * 0.4).alias("_r"))
     scored = hits.select("query_id", "chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")
     return scored.withColumn("place", place).where(F.col("place") <= k)

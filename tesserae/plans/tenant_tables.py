@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
+from tesserae.sources import chunk_store
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
+def index(spark: SparkSession, sf_dir: str) -> chunk_store.Index:
+    """The stored chunks, with the vector of their document, and their postings."""
+    rows = chunks(spark, sf_dir).join(vectors(spark, sf_dir), "doc_id", "left")
+    return chunk_store.written_once(rows, [f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"])
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:
     """The vector of one query: a parameter of the search, not data."""
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])

@@ -46,6 +46,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("score", "vector_score", "keyword_score") if c in df.columns})
 
 
+def _hybrid(spark: SparkSession, d: str, fusion: str) -> DataFrame:
+    at = tt.index(spark, d)
+    return _rounded(search.hybrid(at.chunks, LOCATION, tt.query_vector(spark, d), TERMS, fusion=fusion, postings=at.terms(1, TERMS)))
+
+
 # --- retrieval -------------------------------------------------------------------------------------------------------------
 
 SEEN = "organization_id = 1 AND is_active AND (location_id IS NULL OR location_id = 2)"
@@ -66,19 +71,19 @@ SEEN_ARMS = ARMS.format(where=SEEN)
 
 @query(f"WITH {SEEN_ARMS} SELECT chunk_id, round(vector_score, 6) AS vector_score FROM vec")
 def vector_topk(spark, d):
-    return _rounded(search.vector_arm(search.scoped(_with_vectors(spark, d), LOCATION), tt.query_vector(spark, d), 50))
+    return _rounded(search.vector_arm(search.scoped(tt.index(spark, d).chunks, LOCATION), tt.query_vector(spark, d), 50))
 
 
 @query(f"WITH {SEEN_ARMS} SELECT chunk_id, round(keyword_score, 6) AS keyword_score FROM kw")
 def lexical_topk_simple(spark, d):
-    return _rounded(search.keyword_arm(search.scoped(tt.chunks(spark, d), LOCATION), TERMS, 50))
+    return _rounded(search.posting_arm(search.scoped(tt.index(spark, d).terms(1, TERMS), LOCATION), TERMS, 50))
 
 
 @query(f"""WITH {tt.CHUNKS_SQL} SELECT chunk_id, round(k, 6) AS keyword_score FROM (SELECT chunk_id, r / (r + 1) AS k FROM (
   SELECT chunk_id, len(list_filter(terms, lambda t: list_contains(['the', 'and'], t))) * 0.4::DOUBLE AS r FROM chunks WHERE {SEEN} AND list_has_all(terms, ['the', 'and']))
   ORDER BY k DESC, chunk_id LIMIT 50)""")
 def lexical_topk_all_terms(spark, d):
-    return _rounded(search.keyword_arm(search.scoped(tt.chunks(spark, d), LOCATION), ["the", "and"], 50, match_all=True))
+    return _rounded(search.posting_arm(search.scoped(tt.index(spark, d).terms(1, ["the", "and"]), LOCATION), ["the", "and"], 50, match_all=True))
 
 
 @query(f"""WITH {SEEN_ARMS},
@@ -87,7 +92,7 @@ f AS (SELECT coalesce(rv.chunk_id, rk.chunk_id) AS chunk_id, vector_score, vecto
   count(vector_score) OVER () AS n_vector, count(keyword_score) OVER () AS n_keyword FROM rv FULL JOIN rk ON rv.chunk_id = rk.chunk_id)
 SELECT * REPLACE (round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score) FROM (SELECT f.*, document_id, version_number, ordinal, location_id FROM f JOIN chunks USING (chunk_id) ORDER BY score DESC, version_number DESC, ordinal, chunk_id LIMIT 8)""")
 def hybrid_rrf(spark, d):
-    return _rounded(search.hybrid(_with_vectors(spark, d), LOCATION, tt.query_vector(spark, d), TERMS))
+    return _hybrid(spark, d, "rrf")
 
 
 @query(f"""WITH {SEEN_ARMS},
@@ -97,19 +102,20 @@ f AS (SELECT coalesce(nv.chunk_id, nk.chunk_id) AS chunk_id, vector_score, keywo
 SELECT * REPLACE (round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score) FROM (SELECT f.*, count(vector_score) OVER () AS n_vector, count(keyword_score) OVER () AS n_keyword, document_id, version_number, ordinal, location_id
 FROM f JOIN chunks USING (chunk_id) ORDER BY score DESC, version_number DESC, ordinal, chunk_id LIMIT 8)""")
 def hybrid_weighted(spark, d):
-    return _rounded(search.hybrid(_with_vectors(spark, d), LOCATION, tt.query_vector(spark, d), TERMS, fusion="weighted"))
+    return _hybrid(spark, d, "weighted")
 
 
 @query(f"WITH {SEEN_ARMS} SELECT (SELECT count(*) FROM seen) AS n_seen, (SELECT count(*) FROM vec) AS n_vector, (SELECT count(*) FROM kw) AS n_keyword")
 def arm_candidate_counts(spark, d):
-    seen = search.scoped(_with_vectors(spark, d), LOCATION)
+    at = tt.index(spark, d)
+    seen, places = search.scoped(at.chunks, LOCATION), search.scoped(at.terms(1, TERMS), LOCATION)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(seen, "n_seen").join(count(search.vector_arm(seen, tt.query_vector(spark, d), 50), "n_vector")).join(count(search.keyword_arm(seen, TERMS, 50), "n_keyword"))
+    return count(seen, "n_seen").join(count(search.vector_arm(seen, tt.query_vector(spark, d), 50), "n_vector")).join(count(search.posting_arm(places, TERMS, 50), "n_keyword"))
 
 
 def _scope(name: str, filters: search.Filters, where: str):
     def f(spark, d):
-        return search.scoped(tt.chunks(spark, d), filters).groupBy("document_id", "location_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+        return search.scoped(tt.index(spark, d).chunks, filters).groupBy("document_id", "location_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
     f.__name__ = name
     query(f"WITH {tt.CHUNKS_SQL} SELECT document_id, location_id, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM chunks WHERE {where} GROUP BY ALL")(f)
@@ -132,12 +138,10 @@ REWRITES_SQL = f"""{tt.CHUNKS_SQL}, hits AS (""" + " UNION ALL ".join(
 
 
 def _rewrites(spark, d) -> DataFrame:
-    seen = search.scoped(tt.chunks(spark, d), search.Filters(1, scope="ALL_LOCATIONS"))
-    out = None
-    for i, q in REWRITES:
-        one = search.keyword_arm(seen, q, 50).select(F.lit(i).alias("rewrite"), "chunk_id", F.col("keyword_score").alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All rewrites in one plan: one join of their terms with the postings."""
+    seen = search.scoped(tt.index(spark, d).terms(1, sorted({t for _, q in REWRITES for t in q})), search.Filters(1, scope="ALL_LOCATIONS"))
+    asked = spark.createDataFrame(REWRITES, "query_id int, terms array<string>")
+    return search.keyword_batch(seen, asked, 50).select(F.col("query_id").alias("rewrite"), "chunk_id", "score")
 
 
 @query(f"""WITH {REWRITES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY rewrite ORDER BY score DESC, chunk_id) AS n FROM hits)

@@ -26,14 +26,14 @@ def _typed(spark, d):
 @query(f"""WITH {CHUNKS}, {TYPES} SELECT document_id, document_type, count(*) AS n_chunks FROM chunks JOIN docs USING (document_id)
 WHERE organization_id = 1 AND is_active AND NOT is_deleted AND document_type IN ('policy', 'legal') GROUP BY ALL""")
 def search_document_types(spark, d):
-    seen = search.scoped(tt.chunks(spark, d), search.Filters(1, scope="ALL_LOCATIONS", document_types=("policy", "legal")), _typed(spark, d))
+    seen = search.scoped(tt.index(spark, d).chunks, search.Filters(1, scope="ALL_LOCATIONS", document_types=("policy", "legal")), _typed(spark, d))
     return seen.groupBy("document_id", "document_type").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 @query(f"""WITH {CHUNKS}, {TYPES} SELECT document_id, count(*) AS n_chunks FROM chunks JOIN docs USING (document_id) WHERE organization_id = 1 AND NOT is_deleted GROUP BY ALL""")
 def search_excludes_archived(spark, d):
     """Inactive versions may answer when asked for; archived documents never do."""
-    seen = search.scoped(tt.chunks(spark, d), search.Filters(1, scope="ALL_LOCATIONS", include_inactive=True), _typed(spark, d))
+    seen = search.scoped(tt.index(spark, d).chunks, search.Filters(1, scope="ALL_LOCATIONS", include_inactive=True), _typed(spark, d))
     return seen.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
@@ -55,9 +55,9 @@ s AS (SELECT query_id, chunk_id, r / (r + 1) AS score FROM h), k AS (SELECT *, r
 SELECT query_id, chunk_id, round(score, 6) AS score, place FROM k WHERE place <= 10""")
 def keyword_batch(spark, d):
     """The title and first line of every document whose id is divisible by 20 are a query against all chunks."""
-    chunks = tt.chunks(spark, d)
-    asked = chunks.where("doc_id % 20 = 0 and ordinal <= 2").groupBy(F.col("doc_id").alias("query_id")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    return search.keyword_batch(chunks, asked, 10).withColumn("score", F.round("score", 6))
+    at = tt.index(spark, d)
+    asked = at.chunks.where("doc_id % 20 = 0 and ordinal <= 2").groupBy(F.col("doc_id").alias("query_id")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    return search.keyword_batch(at.postings, asked, 10).withColumn("score", F.round("score", 6))
 
 
 def _index(spark, d):
