@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -197,11 +198,45 @@ def vector_batch(rows: DataFrame, queries: DataFrame, k: int, block: int = 2048,
     return met.withColumn("place", place).where(F.col("place") <= k)
 
 
-def keyword_batch(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, place: the k best chunks for each of a table of queries (query_id, terms): one join of query terms with
-    postings (term, chunk_id, n), summed before the cut."""
+def keyword_batch(postings: DataFrame, queries: DataFrame, k: int, block: int = 1 << 16, width: int = 4096, slab: int = 1024) -> DataFrame:
+    """query_id, chunk_id, score, place: the k best chunks for each of a table of queries (query_id, terms), exactly, from postings (term, chunk_id, n).
+
+    Postings are dealt by chunk into blocks of about ``block`` rows, query terms by query into blocks of about ``width``. Each pair of blocks is a
+    matrix product in one task, taken ``slab`` chunks at a time, of which k rows for each query leave it. So a term that stands in
+    most chunks costs arithmetic and no shuffled rows. Equal scores are ordered by chunk_id; queries without a hit have no rows."""
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = asked.join(postings.select("term", "chunk_id", "n"), "term").groupBy("query_id", "chunk_id").agg((F.sum("n") * 0.4).alias("_r"))
-    scored = hits.select("query_id", "chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("score"))
+
+    def blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // size))
+        rows = df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
+        return rows.groupBy(name).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), *(c for c in df.columns if c != key))).alias(f"_{name}"))
+
+    def run(batches):
+        for batch in batches:
+            for r, q in zip(batch.column("_rb"), batch.column("_qb"), strict=True):
+                (chunk, term, n), (who, wanted) = r.values.flatten(), q.values.flatten()
+                known = wanted.unique()
+                at = pc.index_in(term, value_set=known)
+                met = np.asarray(at.is_valid())
+                if not met.any():
+                    continue
+                at, n = at.drop_null().to_numpy(), n.to_numpy()[met].astype(np.float64)
+                chunks, place = np.unique(chunk.to_numpy()[met], return_inverse=True)
+                asked_by, line = np.unique(who.to_numpy(), return_inverse=True)
+                y = np.zeros((len(asked_by), len(known)))
+                y[line, pc.index_in(wanted, value_set=known).to_numpy()] = 1
+                for first in range(0, len(chunks), slab):
+                    here = (place >= first) & (place < first + slab)
+                    x = np.zeros((len(known), min(slab, len(chunks) - first)))
+                    np.add.at(x, (at[here], place[here] - first), n[here])
+                    s = y @ x
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # chunks stand in ascending order
+                    found = np.take_along_axis(s, best, axis=1)
+                    i, j = np.nonzero(found)
+                    weight = found[i, j] * 0.4
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_by[i]), pa.array(chunks[first + best[i, j]]), pa.array(weight / (weight + 1))], names=["query_id", "chunk_id", "score"])
+
+    pairs = blocks(postings.select("chunk_id", "term", "n"), "chunk_id", block, "rb").select("_rb").crossJoin(blocks(asked, "query_id", width, "qb").select("_qb"))  # of blocks, not of rows
+    met = pairs.mapInArrow(run, "query_id long, chunk_id long, score double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return met.withColumn("place", place).where(F.col("place") <= k)
