@@ -56,7 +56,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> chunk_store.Index:
     """The stored chunks, with the vector of their document, and their postings."""
-    rows = chunks(spark, sf_dir).join(vectors(spark, sf_dir), "doc_id", "left")
+    rows = chunks(spark, sf_dir).drop("terms").join(vectors(spark, sf_dir), "doc_id", "left")
     return chunk_store.written_once(rows, [f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"])
 
 

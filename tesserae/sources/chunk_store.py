@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.functions import text as tx
+
 BUCKETS = 64
 FILTERED = ("organization_id", "is_active", "location_id", "document_id", "version_number", "language")
 _WRITTEN: dict = {}
@@ -43,11 +45,14 @@ def bucket(organization_id: Column, term: Column, buckets: int = BUCKETS) -> Col
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, n and the filtered columns: how often each term stands in each chunk. A chunk lies in one task, so nearly all counting is
-    done before the shuffle; the work is in proportion to the terms, however long a chunk is."""
+    """term, chunk_id, n and the filtered columns: how often each term stands in each chunk. A chunk's terms are counted in its own row, from
+    where runs of equal terms begin in their sorted list: no shuffle, and work in proportion to the terms however long a chunk is."""
     kept = [c for c in FILTERED if c in chunks.columns]
-    each = chunks.select("chunk_id", *kept, F.explode("terms").alias("term"))
-    return each.groupBy("term", "chunk_id", *kept).agg(F.count(F.lit(1)).alias("n")).select("term", "chunk_id", "n", *kept)
+    rows = chunks.where(F.size("terms") > 0).select("chunk_id", *kept, F.sort_array("terms").alias("_a"))
+    first = F.filter(F.sequence(F.lit(0), F.size("_a") - 1), lambda i: (i == 0) | (F.get("_a", i) != F.get("_a", i - 1)))
+    runs = F.transform("_s", lambda i, j: F.struct(F.get("_a", i).alias("term"), (F.coalesce(F.get("_s", j + 1), F.size("_a")) - i).cast("long").alias("n")))
+    each = rows.withColumn("_s", first).select("chunk_id", *kept, F.explode(runs).alias("_p"))
+    return each.select("_p.term", "chunk_id", "_p.n", *kept)
 
 
 @dataclass(frozen=True)
@@ -62,12 +67,16 @@ class Index:
         return self.postings.where(reduce(or_, wanted, F.lit(False))).where((F.col("organization_id") == organization_id) & F.col("term").isin(*terms))
 
 
-def write(chunks: DataFrame, root: str, buckets: int = BUCKETS) -> None:
-    """Writes the index of chunks (chunk_id, terms, the filtered columns and whatever else) to a new folder. The postings are made from the stored chunks."""
-    chunks.hint("rebalance", "organization_id", "is_active").write.partitionBy("organization_id", "is_active").parquet(f"{root}/chunks")
-    stored = _read(chunks.sparkSession, f"{root}/chunks", chunks.schema)
+def write(chunks: DataFrame, root: str, buckets: int = BUCKETS) -> DataFrame:
+    """Writes the index of chunks (chunk_id, the filtered columns and whatever else) to a new folder and returns the stored chunks. Where chunks have no
+    terms, these are made from the content after the rebalance, in tasks of even size. The postings are made from the stored chunks."""
+    dealt = chunks.hint("rebalance", "organization_id", "is_active")
+    rows = dealt if "terms" in chunks.columns else dealt.withColumn("terms", tx.terms(F.col("content")))
+    rows.write.partitionBy("organization_id", "is_active").parquet(f"{root}/chunks")
+    stored = _read(chunks.sparkSession, f"{root}/chunks", rows.schema)
     rows = postings_of(stored).withColumn("bucket", bucket(F.col("organization_id"), F.col("term"), buckets))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/postings")
+    return stored
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -76,7 +85,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str, schema: T.StructType, buckets: int = BUCKETS) -> Index:
-    """The index in a folder; schema is that of the chunks it was written from."""
+    """The index in a folder; schema is that of the stored chunks."""
     chunks = _read(spark, f"{root}/chunks", schema)
     rows = postings_of(chunks)
     return Index(chunks, _read(spark, f"{root}/postings", T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())])), buckets)
@@ -99,7 +108,7 @@ def written_once(chunks: DataFrame, sources: list[str]) -> Index:
     spark = chunks.sparkSession
     key = (spark.sparkContext.applicationId, *(_stamp(spark, s) for s in sources))
     root = _WRITTEN.get(key)
-    if root is None or not _exists(spark, f"{root}/postings/_SUCCESS"):
-        root = _WRITTEN[key] = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        write(chunks, root)
-    return read(spark, root, chunks.schema)
+    if root is None or not _exists(spark, f"{root[0]}/postings/_SUCCESS"):
+        name = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        root = _WRITTEN[key] = name, write(chunks, name).schema
+    return read(spark, *root)
