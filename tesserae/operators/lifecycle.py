@@ -102,6 +102,20 @@ def dead_letters(failed: DataFrame) -> DataFrame:
     return failed.where("outcome = 'dead'").select("job_id", F.substring(F.coalesce("reason", F.lit("")), 1, 500).alias("reason"), F.col("attempts").alias("delivery_count"), F.col("at").alias("failed_at"))
 
 
+def retained_feed(events: DataFrame, now: Column, maxlen: int = 500, ttl_seconds: int = 3600) -> DataFrame:
+    """Of progress events (job_id, seq, at): each job's newest maxlen, unless its last one is older than the time to live, when all of its feed is gone.
+    The cut comes first, within each task already, so that no job sends more than maxlen rows on."""
+    job = W.partitionBy("job_id")
+    newest = events.withColumn("_n", F.row_number().over(job.orderBy(F.desc("at"), F.desc("seq")))).where(F.col("_n") <= maxlen)
+    last = newest.withColumn("_last", F.max("at").over(job))
+    return last.where(F.col("_last") >= now - F.expr(f"interval {int(ttl_seconds)} seconds")).drop("_n", "_last")
+
+
+def trimmed_queue(messages: DataFrame, maxlen: int = 100_000) -> DataFrame:
+    """The newest maxlen messages (seq, ...) of a queue."""
+    return messages.orderBy(F.desc("seq")).limit(maxlen)
+
+
 def worker_counters(settled: DataFrame) -> DataFrame:
     """processed, failed and dead over settled deliveries, and how many were reclaimed from another worker."""
     return settled.agg(F.count_if(F.col("outcome") == "done").alias("processed"), F.count_if(F.col("outcome") == "retry").alias("failed"), F.count_if(F.col("outcome") == "dead").alias("dead"), F.count_if("reclaimed").alias("reclaimed"))

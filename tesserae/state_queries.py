@@ -350,3 +350,17 @@ def citation_only_answers(spark, d):
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '' END AS tools, least(8, 0.5 * pow(2, event_id % 7))::DOUBLE AS cap FROM events")
 def planned_tools(spark, d):
     return tt.read(spark, d, "events").select("event_id", F.array_join(tools.planned_tools(F.array("event_type", "event_type"), ["view", "click"]), ",").alias("tools"), tools.backoff_cap(F.col("event_id") % 7).alias("cap"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events), l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1)
+SELECT user_id AS job_id, event_id AS seq FROM n JOIN l USING (user_id) WHERE n <= 20 AND last >= (SELECT max(ts) FROM events) - INTERVAL 86400 SECONDS""")
+def progress_retention(spark, d):
+    events = tt.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    now = events.agg(F.max("at").alias("now"))  # one row
+    rows = events.join(F.broadcast(now))
+    return lifecycle.retained_feed(rows, F.col("now"), 20, 86400).select("job_id", "seq")
+
+
+@query("SELECT event_id AS seq, event_type FROM events ORDER BY event_id DESC LIMIT 1000")
+def queue_trim(spark, d):
+    return lifecycle.trimmed_queue(tt.read(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), 1000)

@@ -206,3 +206,10 @@ def test_tools(spark):
     m = spark.createDataFrame([(10.0, "eur", " JPY ", ), (1.0, "eur", "xxx")], "amount double, from_currency string, to_currency string")
     r = spark.createDataFrame([("EUR", 1.0), ("JPY", 160.0)], "currency string, per_base double")
     assert sorted((x.converted for x in tools.convert(m, r).collect()), key=str) == [1600.0, None]
+
+
+def test_retained_feed_keeps_the_newest_of_live_jobs(spark):
+    rows = spark.createDataFrame([(1, i, f"2024-01-01 10:00:0{i}") for i in range(5)] + [(2, 9, "2024-01-01 08:00:00"), (None, 7, "2024-01-01 10:00:00"), (3, 8, None)], "job_id long, seq long, t string").withColumn("at", F.to_timestamp("t"))
+    got = lifecycle.retained_feed(rows, F.to_timestamp(F.lit("2024-01-01 10:30:00")), maxlen=2).collect()
+    assert sorted((r.job_id or 0, r.seq) for r in got) == [(0, 7), (1, 3), (1, 4)]
+    assert [r.seq for r in lifecycle.trimmed_queue(rows, 2).collect()] == [9, 8]
