@@ -34,32 +34,14 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import WordHashes, broadcast_if_small, cut, drop, global_rank, table
+from .overlap import MIX, TURNS, atoms, confirmed, least_partner, needed, settle, shingles, split_lists, star_rounds, t_occurrence
 
-K, MATCH, SHINGLE = 96, 55, 5
+K, MATCH, SHINGLE, SHARE = 96, 55, 5, 75
 FACTORS = (np.random.default_rng(5).integers(0, 1 << 63, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.arange(K, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-TURNS = ((False, 3), (False, 3), (False, 3), (True, 6), (True, 12))  # star rounds: whether each list has a centre of its own, and pairs tried for each node
+STEP = np.arange(K, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
 
-def shingles(text: str, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's shingles."""
-    words = text.encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
-    width = min(SHINGLE, n)
-    with np.errstate(over="ignore"):
-        h = ids[: n - width + 1] + np.uint64(width)
-        for j in range(1, width):
-            h = h * MIX + ids[j : n - width + 1 + j]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return np.unique(h)
-
-
 def signature(hashes: np.ndarray, rows: int = 2048) -> np.ndarray:
     least = np.full(K, np.uint64(0xFFFFFFFFFFFFFFFF))
     with np.errstate(over="ignore"):
@@ -79,7 +61,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, key, sig = [], [], []
             for text in batch.column("text").to_pylist():
-                got = shingles(text or "", hashes)
+                got = shingles(text or "", hashes, SHINGLE)
                 n.append(len(got))
                 key.append(xxhash.xxh3_128_digest(got.tobytes()) if len(got) else None)
                 sig.append(signature(got) if len(got) else None)
@@ -88,102 +70,43 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("th")).mapInArrow(run, SIGNED)
 
 
-def similar(pairs: DataFrame) -> DataFrame:
-    """a, b of the rows (a, b, text_a, text_b) whose full sets have 100 * intersection >= 75 * union."""
-
-    def run(batches):
-        hashes = WordHashes()
-        last, held = None, None
-        for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            keep = []
-            for i in range(len(a)):
-                if last != a[i]:
-                    last, held = a[i], shingles(ta[i] or "", hashes)
-                other = shingles(tb[i] or "", hashes)
-                both = np.sort(np.concatenate([held, other]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= 75 * (len(both) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], type=pa.int64()), pa.array([b[i] for i in keep], type=pa.int64())], names=["a", "b"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) for every node of the links (a, b)."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("_near"))
-        least = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("_was"), F.least("comp", "_near").alias("comp")), "near")
-        # pointer jumping: a node's label is a node, whose own label is at most as large
-        jump = least.select(F.col("node").alias("_to"), F.col("comp").alias("_then"))
-        new = cut(least.join(jump, least["comp"] == jump["_to"]).select("node", "_was", F.least("comp", "_then").alias("comp")), "labels")
-        changed = new.where("comp <> _was").limit(1).count()
-        drop(labels, least)
-        labels = new
-        if not changed:
-            drop(both)
-            return labels.select("node", "comp")
-
-
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that agree on MATCH coordinates and then on their full sets."""
     left, right = (sigs.select(F.col("node").alias(c), F.col("short").alias(f"sig_{c}")) for c in ("a", "b"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = cut(pairs.join(left, "a").join(right, "b").where(agree >= MATCH).select("a", "b"), "near-pairs")
-    ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    out = cut(similar(near.join(tb, "b").join(ta, "a")), "links")
+    out = confirmed(near, texts, SHINGLE, SHARE)
     drop(near)
     return out
 
 
 def rare_shingles(texts: DataFrame) -> DataFrame:
-    """value, node, n, place: each set's shingles that stand in another of these sets too, as far as they are among its n - 3n/4 + 1
-    rarest (place counts from 1 in the order (frequency, shingle), shingles of one set only standing first)."""
+    """value, node, n, tail: each set's shingles before its cut, rarest first, that stand in another of these sets too. The cut lies at least
+    behind the n - T + 1 rarest, T being what the smallest partner that the lists offer must share; it moves on over shingles up to twice as
+    frequent as the last of these, so that one shared change out of many makes no candidate. Sets whose first n - T + 1 are theirs alone have
+    no partner."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = shingles(text or "", hashes)
+                got = shingles(text or "", hashes, SHINGLE)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), node)), pa.array(np.full(len(got), len(got))), pa.array(got.view(np.int64))], names=["node", "n", "value"])
 
     each = cut(texts.select("node", "text").mapInArrow(run, "node long, n long, value long"), "open-shingles")
     often = cut(each.groupBy("value").agg(F.count(F.lit(1)).alias("freq"), F.min("n").alias("least")).where("freq > 1"), "shared-shingles")
     by_node = W.partitionBy("node")
-    place = F.row_number().over(by_node.orderBy("freq", "value")) + F.col("n") - F.count(F.lit(1)).over(by_node)
-    placed = each.join(often, "value").withColumn("place", place)
-    # the smallest set that the list offers bounds what must be shared: 7 * intersection >= 3 * (n + n'), and n' >= 3n/4
-    out = cut(placed.where("7 * (n - place + 1) >= 3 * (n + greatest(least, 0.75 * n))").select("value", "node", "n", "place"), "rare-shingles")
+    n = F.col("n")
+    placed = each.join(often, "value").withColumn("_place", F.row_number().over(by_node.orderBy("freq", "value")) + n - F.count(F.lit(1)).over(by_node))
+    share = needed(n, F.greatest(least_partner(n, SHARE), F.min("least").over(by_node)), SHARE)
+    placed = placed.withColumn("_share", share).withColumn("_must", n - F.col("_share") + 1)
+    placed = placed.withColumn("_last", F.max(F.when(F.col("_place") == F.col("_must"), F.col("freq"))).over(by_node))
+    kept = placed.where("_last is not null and (_place <= _must or (freq <= 2 * _last and _place <= _must + _share / 4))")
+    out = cut(kept.select("value", "node", "n", (n - F.max("_place").over(by_node)).alias("tail")), "rare-shingles")
     drop(each, often)
     return out
 
 
-def _split_lists(prefix: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
-    """The postings of lists that still hold more than one component, with the list's largest component (of equal ones the one
-    that a hash favours in this turn, the same in all lists)."""
-    placed = cut(prefix.join(comps, "node", "left").select(*prefix.columns, F.coalesce("comp", "node").alias("comp")), "placed")
-    per_comp = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("_m"))
-    main = per_comp.groupBy("value").agg(F.max(F.struct("_m", F.xxhash64(F.lit(turn), "comp").alias("_h"), "comp")).alias("_main"), F.count(F.lit(1)).alias("_comps"))
-    main = cut(main.where("_comps > 1").select("value", F.col("_main.comp").alias("_main")), "main")
-    out = cut(placed.join(main, "value"), "split")
-    drop(placed, main)
-    return out
-
-
-def _star(split: DataFrame, turn: int, by_value: bool, most: int) -> DataFrame:
-    """Pairs (a, b) of nodes outside their list's largest component with one member of it, at most ``most`` for each node, those of
-    most collisions first. The member is the one that a hash favours, in this turn or (by_value) in this turn and list."""
-    favour = F.xxhash64(F.lit(turn), "node", "value") if by_value else F.xxhash64(F.lit(turn), "node")
-    centres = split.where("comp = _main").groupBy("value").agg(F.min_by("node", F.struct(favour, F.col("node"))).alias("centre"))
-    asks = split.where("comp <> _main").select("value", "node").join(cut(centres, "centres"), "value")
-    met = asks.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("_c"))
-    best = met.withColumn("_row", F.row_number().over(W.partitionBy("node").orderBy(F.desc("_c"), F.xxhash64(F.lit(turn), "node", "centre")))).where(F.col("_row") <= most)
-    return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-
 def _classes(rows: DataFrame) -> DataFrame:
     """key, doc_id, th, node: each class of equal sets with its smallest (doc_id, th). The node is that doc_id; where rows that repeat
     a doc_id with other texts make several classes of it, the others get names beyond the largest doc_id."""
@@ -222,29 +145,20 @@ def row_groups(docs: DataFrame) -> DataFrame:
     wanted = broadcast_if_small(cut(reps.join(ids, "node", "left_semi"), "wanted"), 200_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
     texts = cut(texts.join(wanted, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    links, comps = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long")
-    for turn, (by_value, most) in enumerate(TURNS):
-        split = _split_lists(prefix, comps, turn)
-        if not split.limit(1).count():
-            break
-        links = cut(links.unionByName(_confirm(_star(split, turn, by_value, most), short, texts)), "links")
-        comps = components(links)
-        drop(split)
-    split = _split_lists(prefix, comps, len(TURNS))
-    rare = rare_shingles(texts.join(split.select("node").distinct(), "node", "left_semi"))
+    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long")
+    links, comps = star_rounds(prefix.withColumn("weight", F.lit(1)), lambda p: _confirm(p, short, texts), *none)
+    split = split_lists(prefix, comps, len(TURNS))
+    lists = atoms(rare_shingles(texts.join(split.select("node").distinct(), "node", "left_semi")))
     drop(split, prefix)
-    lists = _split_lists(rare, comps, len(TURNS))
-    aside = lists.where("comp <> _main").select("value", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    reach = "7 * (least(nx - px, n - place) + 1) >= 3 * (n + nx)"
-    pairs = aside.join(lists, "value").where(f"comp <> cx and (comp = _main or x < node) and {reach}")
-    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    last = _confirm(pairs, short, texts)
-    drop(lists, rare, short, texts)
-    comps = components(links.unionByName(last))
+    pairs = t_occurrence(lists, comps, SHARE)
+    _, comps = settle(pairs, lambda p: confirmed(p, texts, SHINGLE, SHARE), links, comps)
+    drop(lists, short, texts, pairs)
     tree = cut(classes.join(comps, "node", "left").select("key", "doc_id", F.coalesce("comp", "node").alias("group")), "class-components")
     least = tree.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     tree = tree.select("key", "group").join(least, "group")
-    return rows.drop("sig").join(tree, "key", "left").select("doc_id", "th", "n", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("group", "component_id")))
+    known = F.col("doc_id").isNotNull() & F.col("key").isNotNull()
+    out = rows.where(known).select("doc_id", "th", "n", "key").join(tree, "key").select("doc_id", "th", "n", "group", "component_id")
+    return out.unionByName(rows.where(~known).select("doc_id", "th", "n", F.lit(None).cast("long").alias("group"), F.lit(None).cast("long").alias("component_id")))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
