@@ -8,13 +8,12 @@
    that occur once meet nobody and are skipped before any list is merged.
 3. Lists are merged in rounds over components. A star round joins the nodes outside a list's largest component with one member
    of that component and counts the collisions of each pair; those with most collisions are confirmed. The member changes from
-   round to round, so that nearly all of a group of near copies soon is one component.
-4. The nodes that still stand in a list with another component are merged by the rarest shingles of their full sets instead: sets
-   of n and n' shingles can only be similar if 7 * intersection >= 3 * (n + n'), so they share one of their n - 3 (n + n') / 7 + 1
-   rarest shingles. What is common to a group of near copies is frequent in it and stands in no such prefix; a node whose own changes are
-   its own has no list at all. So this round is exact, and what it merges grows with the number of nodes that share rare changes,
-   not with the square of the group.
-5. A pair that agrees on at least MATCH coordinates is confirmed on the full shingle sets of both texts; links make
+   round to round, so that nearly all of a group of near copies soon is one component. Rounds end when one links nothing.
+4. What still stands in a list with another component is searched for by ``overlap.t_occurrence`` over the rarest shingles of the full sets. A pair
+   becomes a candidate only if it shares as many of these as linked sets must, so that copies of a template that share one change out of many
+   don't; candidates are compared best first, and never within a component. Among these nodes no link is lost. On pages of one template (ten slots of
+   eight phrases) the full comparisons grow with the rows.
+5. Links of the star rounds agree on at least MATCH coordinates; all links are confirmed on the full shingle sets of both texts, and make
    connected components by min-label propagation with pointer jumping.
 
 Defined cases: texts without words (null, empty, white space) have an empty set and are linked with nothing; fewer than five
@@ -127,7 +126,6 @@ def _classes(rows: DataFrame) -> DataFrame:
 def row_groups(docs: DataFrame) -> DataFrame:
     """doc_id, th, n, group, component_id for every row of docs: group names the component of the row's text, component_id is the
     smallest doc_id in it; both are null for rows without doc_id or without words."""
-    spark = docs.sparkSession
     rows = cut(signatures(docs), "signatures")
     classes = _classes(rows)
     reps = classes.select("doc_id", "th", "node")
@@ -145,13 +143,12 @@ def row_groups(docs: DataFrame) -> DataFrame:
     wanted = broadcast_if_small(cut(reps.join(ids, "node", "left_semi"), "wanted"), 200_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
     texts = cut(texts.join(wanted, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long")
-    links, comps = star_rounds(prefix.withColumn("weight", F.lit(1)), lambda p: _confirm(p, short, texts), *none)
+    comps = star_rounds(prefix.withColumn("weight", F.lit(1)), lambda p: _confirm(p, short, texts))
     split = split_lists(prefix, comps, len(TURNS))
     lists = atoms(rare_shingles(texts.join(split.select("node").distinct(), "node", "left_semi")))
     drop(split, prefix)
     pairs = t_occurrence(lists, comps, SHARE)
-    _, comps = settle(pairs, lambda p: confirmed(p, texts, SHINGLE, SHARE), links, comps)
+    comps = settle(pairs, lambda p: confirmed(p, texts, SHINGLE, SHARE), comps)
     drop(lists, short, texts, pairs)
     tree = cut(classes.join(comps, "node", "left").select("key", "doc_id", F.coalesce("comp", "node").alias("group")), "class-components")
     least = tree.groupBy("group").agg(F.min("doc_id").alias("component_id"))

@@ -58,7 +58,6 @@ def sets(docs: DataFrame, width: int, share: int) -> DataFrame:
 
 def join_groups(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
-    spark = docs.sparkSession
     rows = cut(sets(docs, width, share).withColumn("node", F.monotonically_increasing_id()), "sets")
     known = rows.where("key is not null and doc_id is not null")
     classes = cut(known.groupBy("key").agg(F.min(F.struct("doc_id", "th", "node")).alias("_first")).select("key", "_first.*"), "classes")
@@ -82,10 +81,9 @@ def join_groups(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> Data
         drop(near)
         return out
 
-    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long")
-    links, comps = star_rounds(lists.select("value", "node", "weight"), confirm, *none)
+    comps = star_rounds(lists.select("value", "node", "weight"), confirm)
     pairs = t_occurrence(lists, comps, share)
-    _, comps = settle(pairs, lambda p: confirmed(p, texts, width, share), links, comps)
+    comps = settle(pairs, lambda p: confirmed(p, texts, width, share), comps)
     drop(lists, sketches, texts, pairs)
     tree = classes.join(comps, "node", "left").select("key", "doc_id", F.coalesce("comp", "node").alias("group"))
     least = cut(tree.groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")

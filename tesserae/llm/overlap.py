@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from .common import WordHashes, cut, drop
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-TURNS = ((False, 3), (False, 3), (True, 6), (True, 12))  # star rounds: whether each list has a centre of its own, and pairs tried for each node
+TURNS = ((False, 2), (False, 2), (True, 4), (True, 6))  # star rounds: whether each list has a centre of its own, and pairs tried for each node
 CHUNK, LONG = 4096, 256  # members of a list that one merge holds; lists shorter than LONG are always merged
 
 
@@ -96,18 +96,29 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("_near"))
-        least = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("_was"), F.least("comp", "_near").alias("comp")), "near")
-        # pointer jumping: a node's label is a node, whose own label is at most as large
-        jump = least.select(F.col("node").alias("_to"), F.col("comp").alias("_then"))
-        new = cut(least.join(jump, least["comp"] == jump["_to"]).select("node", "_was", F.least("comp", "_then").alias("comp")), "labels")
+        least = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("_was"), F.least("comp", "_near").alias("_least"))
+        # pointer jumping: a label is a node, whose own label is at most as large
+        jump = labels.select(F.col("node").alias("_to"), F.col("comp").alias("_then"))
+        new = cut(least.join(jump, least["_least"] == jump["_to"]).select("node", "_was", F.least("_least", "_then").alias("comp")), "labels")
         changed = new.where("comp <> _was").limit(1).count()
-        drop(labels, least)
+        drop(labels)
         labels = new
         if not changed:
             drop(both)
             return labels.select("node", "comp")
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) with new links (a, b): only the components that these join are walked again."""
+    ends = [comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab"]
+    met = cut(links.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "met")
+    top = components(met.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("node").alias("_c"), F.col("comp").alias("_top"))
+    own = met.select(F.col("a").alias("node"), F.col("ca").alias("comp")).union(met.select("b", "cb")).union(comps.select("node", "comp")).distinct()
+    out = cut(own.join(top, own["comp"] == top["_c"], "left").select("node", F.coalesce("_top", "comp").alias("comp")), "components")
+    drop(met)
+    return out
+
+
 def split_lists(prefix: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
     """The postings of lists that still hold more than one component, with the list's largest component (of equal ones the one
     that a hash favours in this turn, the same in all lists)."""
@@ -131,19 +142,19 @@ def _star(split: DataFrame, turn: int, by_value: bool, most: int) -> DataFrame:
     return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def star_rounds(prefix: DataFrame, confirm, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links and components after the star rounds over prefix (value, node, weight); confirm gives the linked ones of pairs."""
+def star_rounds(prefix: DataFrame, confirm) -> DataFrame:
+    """Components (node, comp) after the star rounds over prefix (value, node, weight); confirm gives the linked ones of pairs."""
+    comps = prefix.sparkSession.createDataFrame([], "node long, comp long")
     for turn, (by_value, most) in enumerate(TURNS):
         split = split_lists(prefix, comps, turn)
         new = confirm(_star(split, turn, by_value, most))
         found = new.limit(1).count()
         drop(split)
         if found:
-            links = cut(links.unionByName(new), "links")
-            comps = components(links)
+            comps = joined(comps, new)
         elif turn:  # nothing more to gain by one partner a list
             break
-    return links, comps
+    return comps
 
 
 def atoms(postings: DataFrame) -> DataFrame:
@@ -263,20 +274,19 @@ def t_occurrence(postings: DataFrame, comps: DataFrame, share: int) -> DataFrame
     return out
 
 
-def settle(pairs: DataFrame, confirm, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links and components after the candidates (a, b, over): first each node's best one, then its best four, then all that still
-    lie between two components."""
+def settle(pairs: DataFrame, confirm, comps: DataFrame) -> DataFrame:
+    """Components after the candidates (a, b, over): first each node's best one, then its best four, then all that still lie
+    between two components."""
     for most in (1, 4, None):
         if not pairs.limit(1).count():
             break
         each = pairs
         if most:
             place = lambda c: F.row_number().over(W.partitionBy(c).orderBy(F.desc("over"), "a", "b"))
-            each = pairs.withColumn("_a", place("a")).withColumn("_b", place("b")).where((F.col("_a") <= most) | (F.col("_b") <= most))
-        links = cut(links.unionByName(confirm(each.select("a", "b"))), "links")
-        comps = components(links)
+            each = cut(pairs.withColumn("_a", place("a")).withColumn("_b", place("b")).where((F.col("_a") <= most) | (F.col("_b") <= most)).select("a", "b"), "tried")
+        comps = joined(comps, confirm(each.select("a", "b")))
         if most:
             ca, cb = (comps.select(F.col("node").alias(c), F.col("comp").alias(f"_c{c}")) for c in ("a", "b"))
-            apart = pairs.join(each.select("a", "b"), ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
+            apart = pairs.join(each, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
             pairs = cut(apart.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b", "over"), "candidates")
-    return links, comps
+    return comps

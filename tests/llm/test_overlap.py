@@ -90,15 +90,15 @@ def test_template_pages_make_candidates_in_proportion(spark, monkeypatch):
     kept = overlap.similar
     monkeypatch.setattr(overlap, "similar", lambda pairs, *how: (made.append(pairs.count()), kept(pairs, *how))[1])
     total = {}
-    for n in (150, 300, 600):
+    for n in (120, 240, 480):
         rows = template(1, n)
         df = spark.createDataFrame(rows, "doc_id long, text string")
         made.clear()
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(df).collect()), key=str)
         total[n] = sum(made)
-        if n < 600:
+        if n < 480:
             assert got == brute(rows, 5, 75)
-    assert total[600] <= 2.5 * total[300] + 600 and total[600] < 12 * 600, total
+    assert total[480] <= 2.5 * total[240] and total[480] < 18 * 480, total
 
 
 def test_rare_lists_lose_no_link(spark):
