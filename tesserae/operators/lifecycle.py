@@ -125,10 +125,11 @@ def worker_counters(settled: DataFrame) -> DataFrame:
 
 
 def mark_failed(versions: DataFrame, failures: DataFrame) -> DataFrame:
-    """Versions in failures (document_id, version_number, message) are FAILED with the message cut at 2000; an ACTIVE version never is."""
+    """Versions in failures (document_id, version_number, message) are FAILED with the message cut at 2000; an ACTIVE version never is. The errors of
+    all others stay as they are."""
     why = failures.groupBy(*VERSION).agg(F.min(F.substring("message", 1, 2000)).alias("_why"))
     hit = F.col("_why").isNotNull() & (F.col("status") != "ACTIVE")
-    return versions.join(why, VERSION, "left").withColumns({"status": F.when(hit, "FAILED").otherwise(F.col("status")), "error": F.when(hit, F.col("_why"))}).drop("_why")
+    return versions.join(why, VERSION, "left").withColumns({"status": F.when(hit, "FAILED").otherwise(F.col("status")), "error": F.when(hit, F.col("_why")).otherwise(F.col("error") if "error" in versions.columns else F.lit(None))}).drop("_why")
 
 
 def uploads(documents: DataFrame, versions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,11 +166,11 @@ def refuse_duplicates(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 
 def ensure_spaces(spaces: DataFrame, wanted: DataFrame) -> DataFrame:
     """Spaces (organization_id, model, dimension, is_current) after each organisation in wanted has its space: it is found or made, and is the
-    only current one; the others of that organisation are demoted."""
-    ask = wanted.select("organization_id", F.col("model").alias("_m"), F.col("dimension").alias("_d")).distinct()
+    only current one; the others of that organisation are demoted. Of several wanted for one organisation the smallest (model, dimension) is taken."""
+    one = wanted.groupBy("organization_id").agg(F.min(F.struct("model", "dimension")).alias("_w")).select("organization_id", "_w.*")
+    ask = one.select("organization_id", F.col("model").alias("_m"), F.col("dimension").alias("_d"))
     demoted = spaces.join(ask, "organization_id", "left").withColumn("is_current", F.when(F.col("_m").isNull(), F.col("is_current")).otherwise((F.col("model") == F.col("_m")) & (F.col("dimension") == F.col("_d")))).drop("_m", "_d")
-    target = wanted.select("organization_id", "model", "dimension").distinct().withColumn("is_current", F.lit(True))
-    return upsert(demoted.select("organization_id", "model", "dimension", "is_current"), target, ("organization_id", "model", "dimension"), ("is_current",))
+    return upsert(demoted.select("organization_id", "model", "dimension", "is_current"), one.withColumn("is_current", F.lit(True)), ("organization_id", "model", "dimension"), ("is_current",))
 
 
 def space_guard(vectors: DataFrame, spaces: DataFrame, model: str, column_dimension: int) -> DataFrame:

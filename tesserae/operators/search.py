@@ -136,12 +136,14 @@ def fuse_weighted(vec: DataFrame, kw: DataFrame, s: Retrieval = Retrieval()) ->
     return v.join(k, "chunk_id", "full").withColumn("score", score).drop("_v", "_k")
 
 
-def hybrid(chunks: DataFrame, filters: Filters, vector: list[float] | None, query: list[str], s: Retrieval = Retrieval(), fusion: str = "rrf", columns: tuple = ("document_id", "version_number", "ordinal", "location_id"), postings: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, filters: Filters, vector: list[float] | None, query: list[str], s: Retrieval = Retrieval(), fusion: str = "rrf", columns: tuple = ("document_id", "version_number", "ordinal", "location_id"), postings: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
     """The top_k hits with both arms' scores, the arms' candidate counts and the named columns of the chunks. With postings, the keyword arm reads
-    these instead of the chunks."""
-    seen = scoped(chunks, filters)
-    vec = vector_arm(seen, vector, s.candidate_k) if vector is not None else vector_arm(seen.limit(0), [0.0], 1)
-    kw = keyword_arm(seen, query, s.candidate_k) if postings is None else posting_arm(scoped(postings, filters), query, s.candidate_k)
+    these instead of the chunks. With documents, only chunks of live ones and of the filters' document types answer. Each arm gives
+    candidate_k(top_k) candidates, or as many as the settings ask for if that is more."""
+    depth = max(s.candidate_k, candidate_k(s.top_k))
+    seen = scoped(chunks, filters, documents)
+    vec = vector_arm(seen, vector, depth) if vector is not None else vector_arm(seen.limit(0), [0.0], 1)
+    kw = keyword_arm(seen, query, depth) if postings is None else posting_arm(scoped(postings, filters, documents), query, depth)
     fused = {"rrf": fuse_rrf, "weighted": fuse_weighted}[fusion](vec, kw, s)
     whole = W.partitionBy(F.lit(0))  # at most 2 * candidate_k rows
     fused = fused.withColumn("n_vector", F.count("vector_score").over(whole)).withColumn("n_keyword", F.count("keyword_score").over(whole))

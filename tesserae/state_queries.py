@@ -216,9 +216,10 @@ def resume_stages(spark, d):
     return lifecycle.resume_from(now, now.where("job_id % 2 = 0").select("document_id")).select("job_id", "resume_stage")
 
 
-@query(f"WITH {V} SELECT doc_id, CASE WHEN version_number = 1 AND status <> 'ACTIVE' THEN 'FAILED' ELSE status END AS status, CASE WHEN version_number = 1 AND status <> 'ACTIVE' THEN 2000 END AS n_error FROM versions")
+@query(f"WITH {V} SELECT doc_id, CASE WHEN version_number = 1 AND status <> 'ACTIVE' THEN 'FAILED' ELSE status END AS status, CASE WHEN version_number = 1 AND status <> 'ACTIVE' THEN 2000 WHEN status = 'FAILED' THEN length('old ' || doc_id) END AS n_error FROM versions")
 def mark_failed(spark, d):
-    v = tt.versions(spark, d)
+    """Versions that failed before keep their errors."""
+    v = tt.versions(spark, d).withColumn("error", F.when(F.col("status") == "FAILED", F.concat(F.lit("old "), F.col("doc_id").cast("string"))))
     got = lifecycle.mark_failed(v, v.where("version_number = 1").select("document_id", "version_number", F.repeat(F.lit("e"), 3000).alias("message")))
     return got.select("doc_id", "status", F.length("error").cast("long").alias("n_error"))
 
@@ -240,12 +241,13 @@ def embedding_space_guard(spark, d):
     return lifecycle.space_guard(e, spaces, "m", 64).select("vec_id", "refused")
 
 
-@query("""WITH s AS (SELECT s_nationkey AS organization_id, 'm' || s_suppkey % 3 AS model, 64 AS dimension, bool_or(s_suppkey % 2 = 0) AS is_current FROM supplier GROUP BY ALL), w AS (SELECT n_nationkey AS organization_id, 'm1' AS model, 64 AS dimension FROM nation WHERE n_regionkey < 3)
+@query("""WITH s AS (SELECT s_nationkey AS organization_id, 'm' || s_suppkey % 3 AS model, 64 AS dimension, bool_or(s_suppkey % 2 = 0) AS is_current FROM supplier GROUP BY ALL), w AS (SELECT n_nationkey AS organization_id, CASE WHEN n_nationkey % 2 = 0 THEN 'm0' ELSE 'm1' END AS model, 64 AS dimension FROM nation WHERE n_regionkey < 3)
 SELECT coalesce(s.organization_id, w.organization_id) AS organization_id, coalesce(s.model, w.model) AS model, CASE WHEN w.model IS NOT NULL THEN true WHEN s.organization_id IN (SELECT organization_id FROM w) THEN false ELSE is_current END AS is_current FROM s FULL JOIN w ON s.organization_id = w.organization_id AND s.model = w.model""")
 def ensure_spaces(spark, d):
     model = F.concat(F.lit("m"), (F.col("s_suppkey") % 3).cast("string"))
     s = tt.read(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("organization_id"), model.alias("model"), F.lit(64).alias("dimension")).agg(F.bool_or(F.col("s_suppkey") % 2 == 0).alias("is_current"))
-    w = tt.read(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("organization_id"), F.lit("m1").alias("model"), F.lit(64).alias("dimension"))
+    models = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("m1"), F.lit("m0"))).otherwise(F.array(F.lit("m1"), F.lit("m1")))  # two are wanted: the first by name is taken
+    w = tt.read(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("organization_id"), F.explode(models).alias("model"), F.lit(64).alias("dimension"))
     return lifecycle.ensure_spaces(s, w).select("organization_id", "model", "is_current")
 
 

@@ -213,3 +213,19 @@ def test_retained_feed_keeps_the_newest_of_live_jobs(spark):
     got = lifecycle.retained_feed(rows, F.to_timestamp(F.lit("2024-01-01 10:30:00")), maxlen=2).collect()
     assert sorted((r.job_id or 0, r.seq) for r in got) == [(0, 7), (1, 3), (1, 4)]
     assert [r.seq for r in lifecycle.trimmed_queue(rows, 2).collect()] == [9, 8]
+
+
+def test_mark_failed_keeps_other_errors(spark):
+    v = spark.createDataFrame([(1, 1, "FAILED", "old message"), (1, 2, "PROCESSING", None), (2, 1, "ACTIVE", "was"), (3, 1, "FAILED", "before")], "document_id long, version_number long, status string, error string")
+    f = spark.createDataFrame([(1, 2, "new"), (2, 1, "no"), (3, 1, "again")], "document_id long, version_number long, message string")
+    got = {(r.document_id, r.version_number): (r.status, r.error) for r in lifecycle.mark_failed(v, f).collect()}
+    assert got == {(1, 1): ("FAILED", "old message"), (1, 2): ("FAILED", "new"), (2, 1): ("ACTIVE", "was"), (3, 1): ("FAILED", "again")}
+    assert {r.error for r in lifecycle.mark_failed(v.drop("error"), f).collect()} == {None, "new", "again"}
+
+
+def test_ensure_spaces_two_models_wanted(spark):
+    schema = "organization_id long, model string, dimension int"
+    spaces = spark.createDataFrame([(1, "a", 4, True), (1, "b", 4, False)], schema + ", is_current boolean")
+    wanted = spark.createDataFrame([(1, "b", 4), (1, "a", 4), (2, "z", 4), (2, "y", 8), (2, "y", 8)], schema)
+    got = sorted(tuple(r) for r in lifecycle.ensure_spaces(spaces, wanted).collect())
+    assert got == [(1, "a", 4, True), (1, "b", 4, False), (2, "y", 8, True)]

@@ -104,3 +104,17 @@ def test_html_and_config(spark):
     assert interpolate("${A}-${B:-x}", {"A": "1"}) == "1-x"
     with pytest.raises(KeyError):
         interpolate("${A}", {})
+
+
+@pytest.mark.parametrize("text", ["-" * 499 + "1", "(" * 200 + "1" + ")" * 200, "((9**999)**999)**999", "*".join(["9**900"] * 60), "2**-1001"])
+def test_calculator_refuses_what_it_cannot_hold(text):
+    with pytest.raises(ValueError):
+        pu.calculate(text)
+
+
+def test_odd_input_does_not_stop_the_job(spark):
+    deep = '{"a": ' * 50_000
+    rows = [(["a", None, "1. B"], deep, "-" * 499 + "1"), (None, None, None), ([None], '{"x": 1}', "1+1"), (["a", "B"], "{" * 300, "")]
+    df = spark.createDataFrame(rows, "p array<string>, j string, c string")
+    got = df.select(pu.section_key("p"), pu.extract_json("j"), pu.calculator("c")).collect()
+    assert [tuple(r) for r in got] == [(pu.section_digest(["a", "B"]), None, None), (None, None, None), (pu.section_digest([]), '{"x": 1}', 2.0), (pu.section_digest(["a", "B"]), None, None)]
