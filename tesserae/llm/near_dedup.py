@@ -8,7 +8,7 @@
    that occur once meet nobody and are skipped before any list is merged.
 3. Lists are merged in rounds over components. A star round joins the nodes outside a list's largest component with one member
    of that component and counts the collisions of each pair; those with most collisions are confirmed. The member changes from
-   round to round, so that nearly all of a group of near copies soon is one component. Rounds end when one links nothing.
+   round to round, so that nearly all of a group of near copies soon is one component. Rounds end when few of their pairs are linked.
 4. What still stands in a list with another component is searched for by ``overlap.t_occurrence`` over the rarest shingles of the full sets. A pair
    becomes a candidate only if it shares as many of these as linked sets must, so that copies of a template that share one change out of many
    don't; candidates are compared best first, and never within a component. Among these nodes no link is lost. On pages of one template (ten slots of
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import WordHashes, broadcast_if_small, cut, drop, global_rank, table
-from .overlap import MIX, TURNS, atoms, confirmed, least_partner, needed, settle, shingles, split_lists, star_rounds, t_occurrence
+from .overlap import MIX, TURNS, atoms, confirmed, rare_shingles, settle, shingles, split_lists, star_rounds, t_occurrence
 
 K, MATCH, SHINGLE, SHARE = 96, 55, 5, 75
 FACTORS = (np.random.default_rng(5).integers(0, 1 << 63, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -79,33 +79,6 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def rare_shingles(texts: DataFrame) -> DataFrame:
-    """value, node, n, tail: each set's shingles before its cut, rarest first, that stand in another of these sets too. The cut lies at least
-    behind the n - T + 1 rarest, T being what the smallest partner that the lists offer must share; it moves on over shingles up to twice as
-    frequent as the last of these, so that one shared change out of many makes no candidate. Sets whose first n - T + 1 are theirs alone have
-    no partner."""
-
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = shingles(text or "", hashes, SHINGLE)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), node)), pa.array(np.full(len(got), len(got))), pa.array(got.view(np.int64))], names=["node", "n", "value"])
-
-    each = cut(texts.select("node", "text").mapInArrow(run, "node long, n long, value long"), "open-shingles")
-    often = cut(each.groupBy("value").agg(F.count(F.lit(1)).alias("freq"), F.min("n").alias("least")).where("freq > 1"), "shared-shingles")
-    by_node = W.partitionBy("node")
-    n = F.col("n")
-    placed = each.join(often, "value").withColumn("_place", F.row_number().over(by_node.orderBy("freq", "value")) + n - F.count(F.lit(1)).over(by_node))
-    share = needed(n, F.greatest(least_partner(n, SHARE), F.min("least").over(by_node)), SHARE)
-    placed = placed.withColumn("_share", share).withColumn("_must", n - F.col("_share") + 1)
-    placed = placed.withColumn("_last", F.max(F.when(F.col("_place") == F.col("_must"), F.col("freq"))).over(by_node))
-    kept = placed.where("_last is not null and (_place <= _must or (freq <= 2 * _last and _place <= _must + _share / 4))")
-    out = cut(kept.select("value", "node", "n", (n - F.max("_place").over(by_node)).alias("tail")), "rare-shingles")
-    drop(each, often)
-    return out
-
-
 def _classes(rows: DataFrame) -> DataFrame:
     """key, doc_id, th, node: each class of equal sets with its smallest (doc_id, th). The node is that doc_id; where rows that repeat
     a doc_id with other texts make several classes of it, the others get names beyond the largest doc_id."""
@@ -145,7 +118,7 @@ def row_groups(docs: DataFrame) -> DataFrame:
     texts = cut(texts.join(wanted, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
     comps = star_rounds(prefix.withColumn("weight", F.lit(1)), lambda p: _confirm(p, short, texts))
     split = split_lists(prefix, comps, len(TURNS))
-    lists = atoms(rare_shingles(texts.join(split.select("node").distinct(), "node", "left_semi")))
+    lists = atoms(rare_shingles(texts.join(split.select("node").distinct(), "node", "left_semi"), SHINGLE, SHARE))
     drop(split, prefix)
     pairs = t_occurrence(lists, comps, SHARE)
     comps = settle(pairs, lambda p: confirmed(p, texts, SHINGLE, SHARE), comps)

@@ -7,8 +7,9 @@
    too, can have no partner: it stands in no list.
 3. Star rounds turn groups of near copies into components, at a cost that grows with their rows.
 4. What still shares a list with another component is searched for by DivideSkip: long lists set aside, short lists merged on a heap with
-   skips, long lists probed by binary search for the ids left over. All pairs of different components that reach the count are
-   confirmed on the full sets of both texts.
+   skips, long lists probed by binary search for the ids left over. The documents of the pairs that reach the count in the sketches are searched
+   again in the same way, over lists of the rarest shingles of their full sets, where nearly only linked pairs reach the count.
+5. All pairs of different components that come out of this are confirmed on the full sets of both texts.
 
 Only hashes of 64 bits stand for shingles; no link is lost, and links are exact but for two shingles of one hash.
 
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import WordHashes, cut, drop, table
 from .near_dedup import text_hash
-from .overlap import atoms, confirmed, needed, settle, shingles, star_rounds, t_occurrence
+from .overlap import atoms, confirmed, needed, rare_shingles, settle, shingles, star_rounds, t_occurrence
 
 WIDTH, SHARE = 4, 85
 LEAST = "greatest(1L, cast(ceil(n / 20) as long))"
@@ -82,9 +83,11 @@ def join_groups(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> Data
         return out
 
     comps = star_rounds(lists.select("value", "node", "weight"), confirm)
-    pairs = t_occurrence(lists, comps, share)
+    found = t_occurrence(lists, comps, share)
+    met = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    pairs = t_occurrence(atoms(rare_shingles(texts.join(met, "node", "left_semi"), width, share)), comps, share)
     comps = settle(pairs, lambda p: confirmed(p, texts, width, share), comps)
-    drop(lists, sketches, texts, pairs)
+    drop(lists, sketches, texts, found, pairs)
     tree = classes.join(comps, "node", "left").select("key", "doc_id", F.coalesce("comp", "node").alias("group"))
     least = cut(tree.groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")
     tree = cut(tree.join(least, "group").select("key", "component_id"), "class-components")

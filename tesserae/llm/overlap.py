@@ -143,20 +143,49 @@ def _star(split: DataFrame, turn: int, by_value: bool, most: int) -> DataFrame:
 
 
 def star_rounds(prefix: DataFrame, confirm) -> DataFrame:
-    """Components (node, comp) after the star rounds over prefix (value, node, weight); confirm gives the linked ones of pairs."""
+    """Components (node, comp) after the star rounds over prefix (value, node, weight); confirm gives the linked ones of pairs. A round of which
+    fewer than a quarter of the pairs are linked is the last: the search for all pairs does the rest at less cost."""
     comps = prefix.sparkSession.createDataFrame([], "node long, comp long")
     for turn, (by_value, most) in enumerate(TURNS):
         split = split_lists(prefix, comps, turn)
-        new = confirm(_star(split, turn, by_value, most))
-        found = new.limit(1).count()
-        drop(split)
+        pairs = cut(_star(split, turn, by_value, most), "star-pairs")
+        new = confirm(pairs)
+        asked, found = pairs.count(), new.count()
+        drop(split, pairs)
         if found:
             comps = joined(comps, new)
-        elif turn:  # nothing more to gain by one partner a list
+        if 4 * found < asked or not asked:
             break
     return comps
 
 
+def rare_shingles(texts: DataFrame, width: int, share: int) -> DataFrame:
+    """value, node, n, tail: each set's shingles before its cut, rarest first, that stand in another of these sets too. The cut lies at least
+    behind the n - T + 1 rarest, T being what the smallest partner that the lists offer must share; it moves on over shingles up to twice as
+    frequent as the last of these, so that one shared change out of many makes no candidate. Sets whose first n - T + 1 are theirs alone have
+    no partner."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                got = shingles(text or "", hashes, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), node)), pa.array(np.full(len(got), len(got))), pa.array(got.view(np.int64))], names=["node", "n", "value"])
+
+    each = cut(texts.select("node", "text").mapInArrow(run, "node long, n long, value long"), "open-shingles")
+    often = cut(each.groupBy("value").agg(F.count(F.lit(1)).alias("freq"), F.min("n").alias("least")).where("freq > 1"), "shared-shingles")
+    by_node = W.partitionBy("node")
+    n = F.col("n")
+    placed = each.join(often, "value").withColumn("_place", F.row_number().over(by_node.orderBy("freq", "value")) + n - F.count(F.lit(1)).over(by_node))
+    shared = needed(n, F.greatest(least_partner(n, share), F.min("least").over(by_node)), share)
+    placed = placed.withColumn("_share", shared).withColumn("_must", n - F.col("_share") + 1)
+    placed = placed.withColumn("_last", F.max(F.when(F.col("_place") == F.col("_must"), F.col("freq"))).over(by_node))
+    kept = placed.where("_last is not null and (_place <= _must or (freq <= 2 * _last and _place <= _must + _share / 4))")
+    out = cut(kept.select("value", "node", "n", (n - F.max("_place").over(by_node)).alias("tail")), "rare-shingles")
+    drop(each, often)
+    return out
+
+
 def atoms(postings: DataFrame) -> DataFrame:
     """postings (value, node, ...) of one value for each set of values whose lists have the same members, with weight, the number of these
     values, and length, the number of members; values of one member are left out."""

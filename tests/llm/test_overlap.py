@@ -106,7 +106,7 @@ def test_rare_lists_lose_no_link(spark):
     rows = copies(9, 120, 0.6) + [(500 + k, t) for k, t in template(4, 60)]
     texts = spark.createDataFrame(rows, "node long, text string")
     comps = spark.createDataFrame([], "node long, comp long")
-    pairs = {(r.a, r.b) for r in overlap.t_occurrence(overlap.atoms(near_dedup.rare_shingles(texts)), comps, 75).collect()}
+    pairs = {(r.a, r.b) for r in overlap.t_occurrence(overlap.atoms(overlap.rare_shingles(texts, 5, 75)), comps, 75).collect()}
     sets = {d: frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for d, t in rows}
     ids = sorted(sets)
     linked = {(a, b) for a in ids for b in ids if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
