@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WordHashes, cut, drop
+from .common import WordHashes, broadcast_if_small, cut, drop
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURNS = ((False, 2), (False, 2), (True, 4), (True, 6))  # star rounds: whether each list has a centre of its own, and pairs tried for each node
@@ -192,7 +192,7 @@ def atoms(postings: DataFrame) -> DataFrame:
     each = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
     lists = postings.groupBy("value").agg(F.count(F.lit(1)).alias("length"), *(F.bit_xor(h).alias(f"_x{k}") for k, h in enumerate(each))).where("length > 1")
     first = lists.groupBy("length", "_x0", "_x1").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("weight")).select("value", "weight", "length")
-    return cut(postings.join(cut(first, "lists"), "value"), "postings")
+    return cut(postings.join(broadcast_if_small(cut(first, "lists"), 500_000), "value"), "postings")
 
 
 def merge_skip(lists: list[tuple[list[int], int]], want: int) -> list[tuple[int, int]]:
@@ -252,29 +252,33 @@ def t_occurrence(postings: DataFrame, comps: DataFrame, share: int) -> DataFrame
     asks = cut(asks.withColumn("want", F.greatest(F.lit(1), F.col("_least") - F.max(F.when(F.col("long"), F.col("_aside")).otherwise(0)).over(by_node))), "asks")
     short = asks.where("not long").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("size").alias("sx"), F.col("comp").alias("cx"), "want", "weight")
 
+    # members that cannot answer stay behind before anything is shuffled: of lower rank, or of a size that rules a link out
+    fits = f"(m.size > sx or m.size = sx and m.comp > cx) and 100 * m.n >= {share} * nx and {share} * m.n <= 100 * nx"
+    ids = F.expr(f"transform(filter(members, m -> {fits}), m -> m.node)").alias("ids")
+    met = short.join(lists, "value").select("x", "chunk", "want", "weight", ids).where(F.size("ids") > 0)
+
     def run(batches):
-        now, lists_, want = None, [], 0
+        now, want, lists_, out = None, 0, [], []
         for batch in batches:
-            xs, chunks, nx, sx, cx, wants, weights = (batch.column(c).to_pylist() for c in ("x", "chunk", "nx", "sx", "cx", "want", "weight"))
-            members = batch.column("members")
-            flat = {f: members.flatten().field(f).to_numpy() for f in ("node", "n", "size", "comp")}
-            begins = members.offsets.to_numpy() - members.offsets[0].as_py()
-            out = []
-            for i, x in enumerate(xs):
-                if now != (x, chunks[i]):
+            for x, chunk_, want_, weight, ids_ in zip(*(batch.column(c).to_pylist() for c in ("x", "chunk", "want", "weight", "ids")), strict=True):
+                if now != (x, chunk_):
                     if lists_:
-                        out += [(now[0], *found) for found in merge_skip(lists_, want)]
-                    now, lists_, want = (x, chunks[i]), [], wants[i]
-                node, n, size, comp = (flat[f][begins[i] : begins[i + 1]] for f in ("node", "n", "size", "comp"))
-                fits = ((size > sx[i]) | ((size == sx[i]) & (comp > cx[i]))) & (100 * n >= share * nx[i]) & (share * n <= 100 * nx[i])
-                if fits.any():
-                    lists_.append((node[fits].tolist(), weights[i]))
-            yield pa.RecordBatch.from_pylist([{"x": a, "y": b, "c": c} for a, b, c in out], schema=found_schema)
+                        out += [(now[0], *found_) for found_ in merge_skip(lists_, want)]
+                    now, want, lists_ = (x, chunk_), want_, []
+                lists_.append((ids_, weight))
+            if len(out) > 10_000:
+                yield found_batch(out)
+                out = []
         if lists_:
-            yield pa.RecordBatch.from_pylist([{"x": now[0], "y": b, "c": c} for b, c in merge_skip(lists_, want)], schema=found_schema)
+            out += [(now[0], *found_) for found_ in merge_skip(lists_, want)]
+        if out:
+            yield found_batch(out)
+
+    def found_batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], schema=found_schema)
 
     found_schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int64())])
-    met = short.join(lists, "value").repartition("x", "chunk").sortWithinPartitions("x", "chunk", "value")
+    met = met.repartition("x", "chunk").sortWithinPartitions("x", "chunk")
     found = cut(met.mapInArrow(run, "x long, y long, c long"), "found")
     own = placed.groupBy("node").agg(F.first("n").alias("n"), F.first("tail").alias("tail"), F.sort_array(F.collect_list("value")).alias("lists"))
     long = asks.where("long").groupBy(F.col("node").alias("x")).agg(F.collect_list(F.struct("value", "weight")).alias("long"))
