@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
-from tesserae.sources import chunk_store
+from tesserae.sources import chunk_store, vector_index
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def index(spark: SparkSession, sf_dir: str) -> chunk_store.Index:
     return chunk_store.written_once(rows, [f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"])
 
 
+def vector_cells(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The index of all vectors."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    return chunk_store.once(spark, "vectors", [f"{sf_dir}/embeddings.parquet"], lambda root: vector_index.write(rows, root))[1]
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:
     """The vector of one query: a parameter of the search, not data."""
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])

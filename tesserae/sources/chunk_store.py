@@ -40,6 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def kept_table(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, so that what follows can use it more than once and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket(organization_id: Column, term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(organization_id.cast("long"), term), F.lit(buckets)).cast("int")
 
@@ -103,12 +110,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def once(spark: SparkSession, kind: str, sources: list[str], build) -> tuple:
+    """What build(folder) returns, with the folder, made by the first caller of the application and given to all others until a source table changes or
+    the folder is gone."""
+    key = (spark.sparkContext.applicationId, kind, *(_stamp(spark, s) for s in sources))
+    if key not in _WRITTEN or not _exists(spark, _WRITTEN[key][0]):
+        name = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        _WRITTEN[key] = name, build(name)
+    return _WRITTEN[key]
+
+
 def written_once(chunks: DataFrame, sources: list[str]) -> Index:
     """The index of chunks, written by the first search of the application and read by all others until a source table changes."""
     spark = chunks.sparkSession
-    key = (spark.sparkContext.applicationId, *(_stamp(spark, s) for s in sources))
-    root = _WRITTEN.get(key)
-    if root is None or not _exists(spark, f"{root[0]}/postings/_SUCCESS"):
-        name = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        root = _WRITTEN[key] = name, write(chunks, name).schema
-    return read(spark, *root)
+    return read(spark, *once(spark, "index", sources, lambda root: write(chunks, root).schema))
