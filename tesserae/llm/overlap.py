@@ -238,39 +238,48 @@ def t_occurrence(postings: DataFrame, comps: DataFrame, share: int) -> DataFrame
     known = postings.join(comps.join(sizes, "comp"), "node", "left")
     placed = known.select(*postings.columns, F.coalesce("comp", "node").alias("comp"), F.coalesce("_size", F.lit(1)).alias("size"))
     rank = F.struct("size", "comp")
-    ends = placed.groupBy("value").agg(F.max(rank).alias("_main"), F.min(rank).alias("_least"), F.max("tail").alias("_tail")).where("_main <> _least").select("value", "_main", "_tail")
+    ends = placed.groupBy("value").agg(F.max(rank).alias("_main"), F.min(rank).alias("_least"), F.max("tail").alias("_tail"), F.min("n").alias("_small")).where("_main <> _least").select("value", "_main", "_tail", "_small")
     placed = cut(placed.join(ends, "value"), "placed")
     most = placed.agg(F.max("length")).first()[0] or 0
     chunk = F.pmod(F.xxhash64("node"), F.lit(-(-most // CHUNK) or 1))
-    member = F.struct("node", "n", "size", "comp")
+    member = F.struct("node", "n", "tail", "size", "comp")
     lists = placed.groupBy("value", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(member)).alias("members"))
     by_node = W.partitionBy("node")
-    least = needed(F.col("n"), least_partner(F.col("n"), share), share) - F.greatest("tail", F.max("_tail").over(by_node))
+    small = F.greatest(least_partner(F.col("n"), share), F.min("_small").over(by_node))  # no partner is smaller
+    least = needed(F.col("n"), small, share) - F.greatest("tail", F.max("_tail").over(by_node))
     asks = placed.where(rank != F.col("_main")).withColumn("_least", least)
     aside = F.sum(F.when(F.col("length") >= LONG, F.col("weight")).otherwise(0)).over(by_node.orderBy(F.desc("length"), "value"))
     asks = asks.withColumn("_aside", aside).withColumn("long", (F.col("length") >= LONG) & (F.col("_aside") < F.col("_least")))
-    asks = cut(asks.withColumn("want", F.greatest(F.lit(1), F.col("_least") - F.max(F.when(F.col("long"), F.col("_aside")).otherwise(0)).over(by_node))), "asks")
-    short = asks.where("not long").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("size").alias("sx"), F.col("comp").alias("cx"), "want", "weight")
+    asks = cut(asks.withColumn("put_by", F.max(F.when(F.col("long"), F.col("_aside")).otherwise(0)).over(by_node)), "asks")
+    short = asks.where("not long").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("tail").alias("tx"), F.col("size").alias("sx"), F.col("comp").alias("cx"), "put_by", "weight")
 
     # members that cannot answer stay behind before anything is shuffled: of lower rank, or of a size that rules a link out
     fits = f"(m.size > sx or m.size = sx and m.comp > cx) and 100 * m.n >= {share} * nx and {share} * m.n <= 100 * nx"
-    ids = F.expr(f"transform(filter(members, m -> {fits}), m -> m.node)").alias("ids")
-    met = short.join(lists, "value").select("x", "chunk", "want", "weight", ids).where(F.size("ids") > 0)
+    able = F.expr(f"filter(members, m -> {fits})")
+    want = f"cast(ceil({share} * (nx + m.n) / {100 + share}) - greatest(tx, m.tail) - put_by as int)"  # of the short lists, if all long ones had it
+    met = short.join(lists, "value").withColumn("_able", able).where(F.size("_able") > 0)
+    met = met.select("x", "chunk", "weight", F.expr("transform(_able, m -> m.node)").alias("ids"), F.expr(f"transform(_able, m -> {want})").alias("wants"))
 
     def run(batches):
-        now, want, lists_, out = None, 0, [], []
+        now, lists_, wants, out = None, [], {}, []
+
+        def merge():
+            least = max(1, min(wants.values()))
+            return [(now[0], y, c) for y, c in merge_skip(lists_, least) if c >= wants[y]]
+
         for batch in batches:
-            for x, chunk_, want_, weight, ids_ in zip(*(batch.column(c).to_pylist() for c in ("x", "chunk", "want", "weight", "ids")), strict=True):
+            for x, chunk_, weight, ids, wants_ in zip(*(batch.column(c).to_pylist() for c in ("x", "chunk", "weight", "ids", "wants")), strict=True):
                 if now != (x, chunk_):
                     if lists_:
-                        out += [(now[0], *found_) for found_ in merge_skip(lists_, want)]
-                    now, want, lists_ = (x, chunk_), want_, []
-                lists_.append((ids_, weight))
+                        out += merge()
+                    now, lists_, wants = (x, chunk_), [], {}
+                lists_.append((ids, weight))
+                wants.update(zip(ids, wants_, strict=True))
             if len(out) > 10_000:
                 yield found_batch(out)
                 out = []
         if lists_:
-            out += [(now[0], *found_) for found_ in merge_skip(lists_, want)]
+            out += merge()
         if out:
             yield found_batch(out)
 
