@@ -110,6 +110,14 @@ def posting_arm(postings: DataFrame, query: list[str], k: int, match_all: bool =
     return met.select("chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("keyword_score")).orderBy(F.desc_nulls_last("keyword_score"), "chunk_id").limit(k)
 
 
+def posting_arms(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, place: posting_arm for each of a few queries (query_id, terms) over postings that hold little else than their terms."""
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    each = postings.join(asked, "term").groupBy("query_id", "chunk_id").agg((F.sum("n") * 0.4).alias("_r"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")
+    return each.select("query_id", "chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("score")).withColumn("place", place).where(F.col("place") <= k)
+
+
 def ranked(arm: DataFrame, score: str, rank: str) -> DataFrame:
     """Ranks within a cut arm: at most candidate_k rows."""
     return arm.withColumn(rank, F.row_number().over(W.orderBy(F.desc_nulls_last(score), "chunk_id")).cast("long"))

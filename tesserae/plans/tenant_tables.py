@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
-from tesserae.sources import chunk_store, vector_index
+from tesserae.sources import chunk_store, impact_store, vector_index
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def vector_cells(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
     return chunk_store.once(spark, "vectors", [f"{sf_dir}/embeddings.parquet"], lambda root: vector_index.write(rows, root))[1]
 
 
+def impacts(spark: SparkSession, sf_dir: str) -> impact_store.Impacts:
+    """The postings of all chunks in order of impact."""
+    at = index(spark, sf_dir)
+    root, _ = chunk_store.once(spark, "impacts", [f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"], lambda root: impact_store.write(at.postings, root))
+    return impact_store.read(spark, root)
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:
     """The vector of one query: a parameter of the search, not data."""
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])

@@ -141,7 +141,7 @@ def _rewrites(spark, d) -> DataFrame:
     """All rewrites in one plan: one join of their terms with the postings."""
     seen = search.scoped(tt.index(spark, d).terms(1, sorted({t for _, q in REWRITES for t in q})), search.Filters(1, scope="ALL_LOCATIONS"))
     asked = spark.createDataFrame(REWRITES, "query_id int, terms array<string>")
-    return search.keyword_batch(seen, asked, 50).select(F.col("query_id").alias("rewrite"), "chunk_id", "score")
+    return search.posting_arms(seen, asked, 50).select(F.col("query_id").alias("rewrite"), "chunk_id", "score")
 
 
 @query(f"""WITH {REWRITES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY rewrite ORDER BY score DESC, chunk_id) AS n FROM hits)

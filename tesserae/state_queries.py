@@ -8,7 +8,7 @@ from tesserae.operators import catalog, lexical, lifecycle, projections, search,
 from tesserae.plans import tenant_tables as tt
 from tesserae.queries import STAGE_SQL, USERS, V, _stage, _users, query
 from tesserae.settings import STAGES
-from tesserae.sources import vector_index
+from tesserae.sources import impact_store, vector_index
 from tesserae.streaming import jobs
 
 CHUNKS = tt.CHUNKS_SQL
