@@ -257,7 +257,7 @@ def t_occurrence(postings: DataFrame, comps: DataFrame, share: int) -> DataFrame
     fits = f"(m.size > sx or m.size = sx and m.comp > cx) and 100 * m.n >= {share} * nx and {share} * m.n <= 100 * nx"
     able = F.expr(f"filter(members, m -> {fits})")
     want = f"cast(ceil({share} * (nx + m.n) / {100 + share}) - greatest(tx, m.tail) - put_by as int)"  # of the short lists, if all long ones had it
-    met = short.join(lists, "value").withColumn("_able", able).where(F.size("_able") > 0)
+    met = short.join(lists, "value").withColumn("_able", able)  # used in one projection only, so that it is computed once
     met = met.select("x", "chunk", "weight", F.expr("transform(_able, m -> m.node)").alias("ids"), F.expr(f"transform(_able, m -> {want})").alias("wants"))
 
     def run(batches):
@@ -273,6 +273,8 @@ def t_occurrence(postings: DataFrame, comps: DataFrame, share: int) -> DataFrame
                     if lists_:
                         out += merge()
                     now, lists_, wants = (x, chunk_), [], {}
+                if not ids:
+                    continue
                 lists_.append((ids, weight))
                 wants.update(zip(ids, wants_, strict=True))
             if len(out) > 10_000:
