@@ -1,22 +1,32 @@
-"""Keyword search with positions: stems, weights, a query language, and ranking by cover density.
+"""Keyword search with positions: stems, weights, a tree of AND, OR, NOT and phrases, and ranking by the covers of that tree.
 
 Postings are a table (term, chunk_id, weight, positions): one row for each term of a chunk and part, A for its heading and B for its
-content. A query is parsed on the driver into groups of stems; candidates come from an equi-join of its terms with the postings, and
+content. ``write`` lays them down by a hash of the term, with the columns that a search filters by, so that a search lists the buckets of its own
+words. A query is parsed on the driver into a tree; candidates come from an equi-join of its terms with the postings, and
 what needs positions (phrases, covers) is decided over the positions of the candidates' own terms.
 
-English words are stemmed by the first step of Porter's algorithm (plurals, -ed, -ing, -y); other languages are taken as they are.
+A cover is a shortest stretch of a chunk's matching words that satisfies the whole tree, excluded words left aside: in a choice every match is a cover of its
+own, for words that must all occur it is the stretch that holds them all. Each cover counts the harmonic mean of the weights in it, divided by
+the places in it that match nothing, plus one.
+
+English words are stemmed by the first step of Porter's algorithm (plurals, -eed, -ed, -ing, -y); other languages are taken as they are.
 Null texts have no terms.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.chunk_store import FILTERED
+
 #: Words that an English index leaves out.
 STOPWORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 WEIGHTS = {"A": 1.0, "B": 0.4}
@@ -28,6 +38,10 @@ def stem(word: str) -> str:
     if len(word) < 3 or not word.isascii():
         return word
     w = word
+    if w.endswith("eed"):  # agreed, but not need: only behind a vowel that a consonant follows
+        root = w[:-3]
+        met = [c in VOWELS for c in root]
+        return root + "ee" if any(x and not y for x, y in zip(met, met[1:], strict=False)) else w
     if w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
@@ -49,29 +63,50 @@ def tokens(text: str | None, english: bool = True) -> list[tuple[str, int]]:
 
 @dataclass(frozen=True)
 class Query:
-    """groups: phrases (tuples of stems with their distances) that must all, or if relaxed any, occur; without: phrases that must not."""
+    """A tree: ("leaf", phrase), ("not", tree), ("and", trees) or ("or", trees); a phrase is a tuple of stems with their distances from its first. None
+    is a query without words."""
 
-    groups: tuple
-    without: tuple = ()
-    any_of: bool = False
+    tree: tuple | None
 
     def terms(self) -> list[str]:
-        return sorted({t for g in self.groups for t, _ in g})
+        return sorted({t for phrase in _phrases(self.tree) for t, _ in phrase})
+
+
+def _phrases(tree: tuple | None) -> list[tuple]:
+    if tree is None:
+        return []
+    kind, inside = tree
+    return [inside] if kind == "leaf" else _phrases(inside) if kind == "not" else [p for t in inside for p in _phrases(t)]
 
 
 def parse(text: str, english: bool = True, relax: bool = True) -> Query:
-    """Words, "phrases", -excluded and OR. Words stand for all of them; relaxed, for any of them, unless something is excluded. An OR makes
-    the whole query a choice."""
-    groups, without, choice = [], [], False
+    """Words, "phrases", -excluded, and ``or`` in any case, which binds weaker than what stands side by side: a b or c is (a and b) or c. Words stand
+    for all of them; relaxed, for any of them, unless something is excluded. An ``or`` without anything on one of its sides is left out."""
+    sides, minus_seen = [[]], False
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
-        if word == "OR":
-            choice = True
+        if not minus and word.lower() == "or":
+            sides.append([])
             continue
         found = tokens(phrase or word, english)
         if found:
-            first = found[0][1]
-            (without if minus else groups).append(tuple((t, p - first) for t, p in found))
-    return Query(tuple(groups), tuple(without), choice or (relax and not without))
+            leaf = ("leaf", tuple((t, p - found[0][1]) for t, p in found))
+            sides[-1].append(("not", leaf) if minus else leaf)
+            minus_seen |= bool(minus)
+    sides = [side for side in sides if side]
+    if relax and not minus_seen:
+        sides = [[leaf] for side in sides for leaf in side]
+    trees = [side[0] if len(side) == 1 else ("and", tuple(side)) for side in sides]
+    return Query(None if not trees else trees[0] if len(trees) == 1 else ("or", tuple(trees)))
+
+
+def holds(tree: tuple, where: dict, strict: bool = True) -> bool:
+    """Whether positions by term satisfy the tree; unless strict, what is excluded doesn't count."""
+    kind, inside = tree
+    if kind == "leaf":
+        return has_phrase(where, inside)
+    if kind == "not":
+        return not strict or not holds(inside, where)
+    return (all if kind == "and" else any)(holds(t, where, strict) for t in inside)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -94,7 +129,9 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "heading", "content", "language").mapInPandas(run, "chunk_id long, term string, weight string, positions array<int>")
 
 
-def has_phrase(where: dict[str, list[int]], phrase: tuple) -> bool:
+def has_phrase(where: dict, phrase: tuple) -> bool:
+    if len(phrase) == 1:
+        return bool(where.get(phrase[0][0]))
     starts = None
     for t, d in phrase:
         here = {p - d for p in where.get(t, ())}
@@ -104,30 +141,36 @@ def has_phrase(where: dict[str, list[int]], phrase: tuple) -> bool:
     return True
 
 
-def cover_density(places: list[tuple[int, str, float]], wanted: set[str]) -> float:
-    """Over the shortest stretches that hold all wanted terms, none within another: the harmonic mean of the weights in it, divided by the
-    positions in it that are no match, plus one."""
-    total, first, held, left = 0.0, 0, {}, 0
-    places = sorted(p for p in places if p[1] in wanted)
-    for right, (_, t, _) in enumerate(places):
-        held[t] = held.get(t, 0) + 1
-        if len(held) < len(wanted):
+def covers(tree: tuple, places: list[tuple[int, str, float]]):
+    """(first, last) of the shortest stretches of places (position, term, weight; ascending) that satisfy the tree, none within another. Both ends only
+    move forward, so a place is taken in and given up once."""
+    where, left = {}, 0
+    for right, (p, t, _) in enumerate(places):
+        where.setdefault(t, deque()).append(p)
+        if not holds(tree, where, strict=False):
             continue
-        while held[places[left][1]] > 1:
-            held[places[left][1]] -= 1
+        while holds(tree, where, strict=False):
+            gone = places[left][1]
+            where[gone].popleft()
             left += 1
-        inside = places[left : right + 1]
+        yield left - 1, right
+
+
+def cover_density(places: list[tuple[int, str, float]], tree: tuple) -> float:
+    places = sorted(places)
+    total = 0.0
+    for first, last in covers(tree, places):
+        inside = places[first : last + 1]
         noise = (inside[-1][0] - inside[0][0]) - (len(inside) - 1)
         total += len(inside) / sum(1 / w for *_, w in inside) / (1 + max(0, noise))
-        del held[places[left][1]]
-        left += 1
     return total
 
 
 def search(index: DataFrame, query: Query, k: int) -> DataFrame:
-    """chunk_id, score of the k best chunks: r / (r + 1), r being the cover density over the query's terms that the chunk has."""
-    wanted = [*query.terms(), *{t for g in query.without for t, _ in g}]
-    if not query.groups:
+    """chunk_id, score of the k best chunks: r / (r + 1), r being the cover density of the query's tree. A query that no word has to match (excluded words
+    alone, or as one side of a choice) has no hits."""
+    tree, wanted = query.tree, query.terms()
+    if tree is None or holds(tree, {}, strict=False):
         return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     met = index.where(F.col("term").isin(*wanted)).groupBy("chunk_id").agg(F.collect_list(F.struct("term", "weight", "positions")).alias("_p"))
 
@@ -138,16 +181,30 @@ def search(index: DataFrame, query: Query, k: int) -> DataFrame:
             for x in row:
                 where.setdefault(x["term"], []).extend(int(p) for p in x["positions"])
                 places += [(int(p), x["term"], WEIGHTS[x["weight"]]) for p in x["positions"]]
-            hit = [has_phrase(where, g) for g in query.groups]
-            ok = (any(hit) if query.any_of else all(hit)) and not any(has_phrase(where, g) for g in query.without)
-            terms = {t for g, h in zip(query.groups, hit, strict=True) if h for t, _ in g}
-            r = cover_density(places, terms) if ok else 0.0
-            out.append(r / (r + 1) if ok else None)
+            ok = holds(tree, where)
+            r = cover_density(places, tree) if ok else 0.0
+            out.append(round(r / (r + 1), 12) if ok and r else None)  # sums in another order are ties
         return pd.Series(out, dtype="float64")
 
     return met.select("chunk_id", F.pandas_udf(score, "double")("_p").alias("score")).where("score is not null").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+def write(chunks: DataFrame, root: str, buckets: int = 64) -> None:
+    """The postings of chunks, with the columns that a search filters by, in a new folder by a hash of the term."""
+    kept = [c for c in FILTERED if c in chunks.columns]
+    rows = postings(chunks).join(chunks.select("chunk_id", *kept), "chunk_id").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/positions")
+
+
+def read(spark: SparkSession, root: str, query: Query | None = None, buckets: int = 64) -> DataFrame:
+    """The stored postings; with a query, only the buckets of its words are listed."""
+    df = spark.read.parquet(f"{root}/positions")
+    if query is None:
+        return df
+    wanted = [F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)) for t in query.terms()]
+    return df.where(reduce(or_, wanted, F.lit(False)))
+
+
 def query_language(languages: tuple, default: str = "en") -> str:
     """The language a query is parsed in: the one language filtered for, else the default."""
     return languages[0] if len(languages) == 1 else default

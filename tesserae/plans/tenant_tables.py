@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
+from tesserae.operators import lexical
 from tesserae.sources import chunk_store, impact_store, vector_index
 
 
@@ -73,6 +74,17 @@ def impacts(spark: SparkSession, sf_dir: str) -> impact_store.Impacts:
     return impact_store.read(spark, root)
 
 
+def with_headings(chunks: DataFrame) -> DataFrame:
+    """Chunks with their first three terms as a heading."""
+    return chunks.withColumn("heading", F.array_join(F.slice("terms", 1, 3), " "))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the positional index of all chunks."""
+    rows = with_headings(chunks(spark, sf_dir))
+    return chunk_store.once(spark, "positions", [f"{sf_dir}/documents.parquet"], lambda root: lexical.write(rows, root))[0]
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:
     """The vector of one query: a parameter of the search, not data."""
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])

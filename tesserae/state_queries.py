@@ -81,25 +81,35 @@ def keyword_batch(spark, d):
     return search.keyword_batch(at.postings, asked, 10).withColumn("score", F.round("score", 6))
 
 
-def _index(spark, d):
-    c = tt.chunks(spark, d).where("organization_id = 1 and is_active")
-    heading = F.array_join(F.slice("terms", 1, 3), " ")
-    return lexical.postings(c.withColumn("heading", heading))
+UNSTEMMED = search.Filters(1, scope="ALL_LOCATIONS", languages=("de", "es", "fr"))
+WORDS_SQL = f"""{CHUNKS}, split AS (SELECT chunk_id, terms[1:3] AS hw, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS cw
+  FROM chunks WHERE organization_id = 1 AND is_active AND language IN ('de', 'es', 'fr')),
+e AS (SELECT chunk_id, unnest(hw) AS word, generate_subscripts(hw, 1) AS pos, 1.0::DOUBLE AS w FROM split UNION ALL SELECT chunk_id, unnest(cw), len(hw) + generate_subscripts(cw, 1), 0.4::DOUBLE FROM split)"""
+BEST_SQL = "SELECT chunk_id, round(s, 6) AS score FROM (SELECT chunk_id, round(r / (r + 1), 12) AS s FROM ranks ORDER BY s DESC, chunk_id LIMIT 50)"
 
 
-@query()
+def _lexical(spark, d, text, **how):
+    """The stored positions of the query's words, in the tenant's chunks of languages that are not stemmed."""
+    query_ = lexical.parse(text, english=False, **how)
+    at = lexical.read(spark, tt.positions(spark, d), query_)
+    return lexical.search(search.scoped(at, UNSTEMMED), query_, 50).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {WORDS_SQL}, ranks AS (SELECT chunk_id, sum(2 / (1 / a.w + 1 / b.w)) AS r FROM e a JOIN e b USING (chunk_id) WHERE a.word = 'de' AND b.word = 'la' AND b.pos = a.pos + 1 GROUP BY 1) {BEST_SQL}""")
 def lexical_phrase(spark, d):
-    return lexical.search(_index(spark, d), lexical.parse('"de la"'), 50).withColumn("score", F.round("score", 6))
+    return _lexical(spark, d, '"de la"')
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, m AS (SELECT *, lag(word) OVER p AS word0, lag(pos) OVER p AS pos0, lag(w) OVER p AS w0 FROM e WHERE word IN ('de', 'que') AND chunk_id NOT IN (SELECT chunk_id FROM e WHERE word = 'der') WINDOW p AS (PARTITION BY chunk_id ORDER BY pos)),
+ranks AS (SELECT chunk_id, sum(2 / (1 / w + 1 / w0) / (pos - pos0)) AS r FROM m WHERE word <> word0 GROUP BY 1) {BEST_SQL}""")
 def lexical_all_terms_cd(spark, d):
-    return lexical.search(_index(spark, d), lexical.parse("de que -der", relax=False), 50).withColumn("score", F.round("score", 6))
+    return _lexical(spark, d, "de que -der", relax=False)
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, ranks AS (SELECT chunk_id, sum(w) AS r FROM e WHERE word IN ('de', 'la') GROUP BY 1) {BEST_SQL}""")
 def lexical_heading_weight(spark, d):
-    return lexical.search(_index(spark, d), lexical.parse("de la"), 50).withColumn("score", F.round("score", 6))
+    """Relaxed: any of the words; every match counts its weight."""
+    return _lexical(spark, d, "de la")
 
 
 @query(f"""WITH {CHUNKS} SELECT chunk_id, document_id, version_number, organization_id, location_id, sha256(content) AS content_sha, CASE WHEN location_id IS NULL THEN 'ORGANIZATION' ELSE 'LOCATION' END AS scope,

@@ -182,11 +182,48 @@ def test_lexical_queries(index):
     assert lexical.query_language(("fr",)) == "fr" and lexical.query_language(("fr", "de")) == "en"
 
 
+def leaf(*words):
+    return ("leaf", tuple((w, i) for i, w in enumerate(words)))
+
+
 def test_cover_density_by_hand():
     places = [(1, "a", 1.0), (2, "b", 1.0), (9, "a", 0.4)]
     # covers 1-2 (no gap) and 2-9 (six words between)
-    assert lexical.cover_density(places, {"a", "b"}) == pytest.approx(2 / 2 + (2 / (1 / 1.0 + 1 / 0.4)) / 7)
-    assert lexical.cover_density(places, {"a", "c"}) == 0.0 and lexical.cover_density([(4, "a", 0.4)], {"a"}) == pytest.approx(0.4)
+    both, either = ("and", (leaf("a"), leaf("b"))), ("or", (leaf("a"), leaf("b")))
+    assert lexical.cover_density(places, both) == pytest.approx(2 / 2 + (2 / (1 / 1.0 + 1 / 0.4)) / 7)
+    assert lexical.cover_density(places, ("and", (leaf("a"), leaf("c")))) == 0.0 and lexical.cover_density([(4, "a", 0.4)], leaf("a")) == pytest.approx(0.4)
+    assert lexical.cover_density(places, either) == pytest.approx(2.4)  # every match is a cover of its own
+    assert lexical.cover_density([(1, "a", 0.4), (40, "b", 0.4)], either) == pytest.approx(0.8)
+    assert lexical.cover_density([(1, "a", 1.0), (2, "b", 1.0), (3, "b", 1.0), (4, "c", 0.4)], ("or", (both, leaf("c")))) == pytest.approx(1.4)
+    assert lexical.cover_density([(1, "a", 1.0), (3, "b", 1.0), (4, "a", 0.4), (5, "b", 0.4)], leaf("a", "b")) == pytest.approx(0.4)
+
+
+def test_query_trees():
+    tree = lambda q, **how: lexical.parse(q, english=False, **how).tree
+    a, b, c = map(leaf, "abc")
+    assert tree("a b or c", relax=False) == ("or", (("and", (a, b)), c)) == tree("a b OR c", relax=False)
+    assert tree("a b or c") == ("or", (a, b, c)) and tree("a b") == ("or", (a, b)) and tree("or a or") == a
+    assert tree('a "b c"', relax=False) == ("and", (a, leaf("b", "c"))) and tree('"or" a', relax=False) == ("and", (leaf("or"), a))
+    assert tree("a b -c") == ("and", (a, b, ("not", c))) and tree("") is None
+    assert lexical.stem("agreed") == "agree" and lexical.stem("need") == "need"
+
+
+def test_both_words_beat_one_in_relaxed_queries(spark):
+    far = " ".join(["pool", *["x"] * 38, "bar"])
+    rows = [(1, None, far, "fr"), (2, None, "pool", "fr"), (3, "bar", "none", "fr"), (4, None, "pool pool -", "fr")]
+    got = lexical.search(lexical.postings(spark.createDataFrame(rows, "chunk_id long, heading string, content string, language string")), lexical.parse("pool bar", english=False), 10).collect()
+    assert [(r.chunk_id, round(r.score, 6)) for r in got] == [(3, 0.5), (1, round(0.8 / 1.8, 6)), (4, round(0.8 / 1.8, 6)), (2, round(0.4 / 1.4, 6))]
+
+
+def test_stored_positions(spark, tmp_path):
+    rows = [(1, "Pool", "the pool bar", "fr", 1, True), (2, None, "bar", "fr", 2, True), (3, None, None, None, 1, False)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, heading string, content string, language string, organization_id long, is_active boolean")
+    lexical.write(chunks, f"file://{tmp_path}/p", buckets=8)
+    query = lexical.parse("pool bar", english=False)
+    at = lexical.read(spark, f"file://{tmp_path}/p", query, buckets=8)
+    assert lexical.search(at, query, 5).collect() == lexical.search(lexical.postings(chunks), query, 5).collect()
+    assert [r.chunk_id for r in lexical.search(search.scoped(at, search.Filters(1, scope="ALL_LOCATIONS")), query, 5).collect()] == [1]
+    assert len({r.bucket for r in at.select("bucket").distinct().collect()}) <= 2
 
 
 # --- tools -----------------------------------------------------------------------------------------------------------------------------
