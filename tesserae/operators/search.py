@@ -118,6 +118,27 @@ def posting_arms(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return each.select("query_id", "chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("score")).withColumn("place", place).where(F.col("place") <= k)
 
 
+def keyword_grouped(postings: DataFrame, queries: DataFrame, k: int, keys: tuple = ("organization_id",)) -> DataFrame:
+    """query_id, chunk_id, score, place: the k best chunks for each of a table of queries, each seen through its own filter.
+
+    queries: query_id, terms, organization_id, location_id, scope (as in Filters), include_inactive, and document_id and version_number, null where a query
+    isn't held to them. The filter comes with the query's row and is applied before anything is scored, so no hit of another tenant, scope or
+    version takes a place. ``keys`` are columns that every query gives: they are joined on together with the term. Queries without a scope that exists
+    see nothing."""
+    asked = queries.select(*(F.col(c).alias(f"_{c}") for c in ("query_id", "organization_id", "location_id", "scope", "include_inactive", "document_id", "version_number")), F.explode(F.array_distinct("terms")).alias("_term"))
+    on = F.col("term") == F.col("_term")
+    for c in keys:
+        on &= F.col(c) == F.col(f"_{c}")
+    here = F.col("location_id") == F.col("_location_id")
+    scope = F.when(F.col("_scope") == "ALL_LOCATIONS", True).when(F.col("_scope") == "ORG_ONLY", F.col("location_id").isNull()).when(F.col("_scope") == "LOCATION_ONLY", here).when(F.col("_scope") == "LOCATION_AND_ORG", F.col("location_id").isNull() | here)
+    seen = (F.col("organization_id") == F.col("_organization_id")) & scope & (F.col("_include_inactive") | F.col("is_active"))
+    for c in ("document_id", "version_number"):
+        seen &= F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}"))
+    met = postings.join(asked, on & seen).groupBy(F.col("_query_id").alias("query_id"), "chunk_id").agg((F.sum("n") * 0.4).alias("_r"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")
+    return met.select("query_id", "chunk_id", (F.col("_r") / (F.col("_r") + 1)).alias("score")).withColumn("place", place).where(F.col("place") <= k)
+
+
 def ranked(arm: DataFrame, score: str, rank: str) -> DataFrame:
     """Ranks within a cut arm: at most candidate_k rows."""
     return arm.withColumn(rank, F.row_number().over(W.orderBy(F.desc_nulls_last(score), "chunk_id")).cast("long"))

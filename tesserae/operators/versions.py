@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
+from tesserae.operators import search, tools
 from tesserae.settings import GATES
 
 
@@ -117,18 +118,18 @@ def first_failure(checks: DataFrame) -> DataFrame:
     return checks.groupBy(*keys).agg(F.bool_and("passed").alias("passed"), F.min_by(F.when(~F.col("passed"), F.col("gate")), F.when(~F.col("passed"), order)).alias("failed_gate"))
 
 
-def smoke_probes(chunks: DataFrame, words: int = 3) -> DataFrame:
-    """The search that must find each version: the first distinct words of its first chunk that isn't blank."""
-    first = chunks.where(F.trim("content") != "").groupBy("document_id", "version_number").agg(F.min_by("content", "ordinal").alias("_first"))
-    return first.select("document_id", "version_number", F.slice(F.array_distinct(tx.terms(F.col("_first"))), 1, words).alias("probe"))
-
-
-def smoke_hits(probes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Whether one indexed chunk of the version has all words of its probe; a version whose probe has no words isn't found."""
-    words = chunks.select("document_id", "version_number", "terms")
-    rows = probes.join(words, ["document_id", "version_number"], "left")
-    hit = (F.size("probe") > 0) & F.col("terms").isNotNull() & (F.size(F.array_except("probe", "terms")) == 0)
-    return rows.groupBy("document_id", "version_number").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("found"))
+def smoke_hits(versions: DataFrame, chunks: DataFrame, postings: DataFrame, k: int = 3) -> DataFrame:
+    """document_id, version_number, found: whether the probe of each version (some words of its longest chunk, see tools.longest_chunks) finds a chunk of it
+    among the k best, by the search that serves queries: the version's own organisation, location and number, active or not. A version without
+    chunks, without such words, or whose chunks stand in another scope or not in the index, isn't found."""
+    key = ["document_id", "version_number"]
+    own = versions.select("organization_id", "location_id", *key)
+    scope = F.when(F.col("location_id").isNull(), "ORG_ONLY").otherwise("LOCATION_ONLY")
+    probes = own.join(tools.longest_chunks(chunks), key).where("probe is not null")
+    asked = probes.select(F.struct(*key).alias("query_id"), tx.terms(F.col("probe")).alias("terms"), "organization_id", "location_id", scope.alias("scope"), F.lit(True).alias("include_inactive"), *key)
+    hits = search.keyword_grouped(postings, asked, k, keys=("organization_id", *key))
+    found = hits.select("query_id.*").distinct().withColumn("found", F.lit(True))
+    return own.select(*key).distinct().join(found, key, "left").select(*key, F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def gate_checks(stats: DataFrame, foreign: DataFrame, mismatch: DataFrame, every: DataFrame | None = None, smoke: DataFrame | None = None) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tesserae.operators import catalog, lexical, lifecycle, projections, search, tools
 from tesserae.plans import tenant_tables as tt
 from tesserae.queries import STAGE_SQL, USERS, V, _stage, _users, query
 from tesserae.settings import STAGES
-from tesserae.sources import impact_store, vector_index
+from tesserae.sources import chunk_store, segments, vector_index
 from tesserae.streaming import jobs
 
 CHUNKS = tt.CHUNKS_SQL
@@ -132,6 +134,21 @@ def citation_rows(spark, d):
     return c.select("query_id", "citation.chunk_id", "citation.ref", "citation.locator", "citation.score", F.sha2("citation.snippet", 256).alias("snippet_sha"))
 
 
+@query(f"""WITH {CHUNKS}, k AS (SELECT DISTINCT document_id FROM chunks WHERE version_number = 2 AND document_id % 3 = 0),
+now AS (SELECT c.* FROM chunks c LEFT JOIN k ON c.document_id = k.document_id WHERE CASE WHEN k.document_id IS NOT NULL THEN version_number = 2 ELSE version_number = 1 AND c.document_id % 7 <> 0 END)
+SELECT document_id, version_number, count(*) AS n_chunks, count(*) FILTER (WHERE is_active AND document_id % 5 <> 0) AS n_active FROM now GROUP BY ALL""")
+def segment_store(spark, d):
+    """First versions in one commit; second versions of every third document put in and every seventh document deleted by the next; every fifth switched off
+    by a third, which writes no row."""
+    c = tt.chunks(spark, d).select("document_id", "version_number", "ordinal", "content", "is_active")
+    table = segments.Segments(spark, f"{chunk_store.shared_folder(spark)}/segments-{uuid.uuid4().hex}", "document_id", c.schema, "is_active")
+    first = table.commit(0, c.where("version_number = 1"))
+    ids = tt.versions(spark, d).select("document_id").distinct()
+    second = table.commit(first, c.where("version_number = 2 and document_id % 3 = 0"), delete=ids.where("document_id % 7 = 0"))
+    table.commit(second, flags=ids.where("document_id % 5 = 0").withColumn("is_active", F.lit(False)))
+    return table.read().groupBy("document_id", "version_number").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if("is_active").alias("n_active"))
+
+
 # --- look-ups ----------------------------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import catalog, ocr_gate, routing, structure, versions
 from tesserae.settings import Chunking, Ocr
-from tesserae.sources import readers, snapshots
+from tesserae.sources import chunk_store, readers, snapshots
 from tesserae.streaming import jobs
 
 GOOD = "The pool is open from nine until dusk and towels are handed out at the desk near the door. " * 3
@@ -372,10 +372,13 @@ def test_whole_jobs_are_registered(spark, tmp_path):
 
 
 def test_gates_of_versions_without_chunks_or_not_found(spark):
-    schema = "organization_id long, location_id long, document_id long, version_number long, ordinal long, content string, terms array<string>, embedding array<double>"
-    rows = [(1, None, 1, 1, 1, "Quiet rooms", ["quiet", "rooms"], [1.0]), (1, None, 2, 1, 1, "Pool hours", ["stale", "index"], [1.0])]
+    schema = "chunk_id long, is_active boolean, organization_id long, location_id long, document_id long, version_number long, ordinal long, content string, terms array<string>, embedding array<double>"
+    rows = [(1, False, 1, None, 1, 1, 1, "Quiet rooms", ["quiet", "rooms"], [1.0]), (2, False, 1, None, 2, 1, 1, "Pool hours", ["stale", "index"], [1.0]), (4, False, 1, None, 4, 1, 1, "a b", ["a", "b"], [1.0])]
     chunks = spark.createDataFrame(rows, schema)
-    every = spark.createDataFrame([(k, 1, 1, None) for k in (1, 2, 3)], "document_id long, version_number long, organization_id long, location_id long")
-    smoke = versions.smoke_hits(versions.smoke_probes(chunks), chunks)
+    every = spark.createDataFrame([(k, 1, 1, None) for k in (1, 2, 3, 4)], "document_id long, version_number long, organization_id long, location_id long")
+    smoke = versions.smoke_hits(every, chunks, chunk_store.postings_of(chunks))
     checks = versions.gate_checks(versions.validation_stats(chunks), versions.foreign_rows(chunks, every), versions.scope_mismatch(chunks, every), every, smoke)
-    assert {r.document_id: (r.passed, r.failed_gate) for r in versions.first_failure(checks).collect()} == {1: (True, None), 2: (False, "smoke_retrieval"), 3: (False, "chunk_count")}
+    assert {r.document_id: (r.passed, r.failed_gate) for r in versions.first_failure(checks).collect()} == {1: (True, None), 2: (False, "smoke_retrieval"), 3: (False, "chunk_count"), 4: (False, "smoke_retrieval")}
+    elsewhere = every.withColumn("location_id", F.lit(5).cast("long"))  # the search by a version's own scope doesn't see its chunks
+    assert not any(r.found for r in versions.smoke_hits(elsewhere, chunks, chunk_store.postings_of(chunks)).collect())
+    assert not any(r.found for r in versions.smoke_hits(every.withColumn("organization_id", F.lit(2).cast("long")), chunks, chunk_store.postings_of(chunks)).collect())
