@@ -19,6 +19,7 @@ Nothing here is capped: every list, partner and candidate is followed to the end
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -243,7 +244,9 @@ def t_occurrence(postings: DataFrame, comps: DataFrame, share: int) -> DataFrame
     most = placed.agg(F.max("length")).first()[0] or 0
     chunk = F.pmod(F.xxhash64("node"), F.lit(-(-most // CHUNK) or 1))
     member = F.struct("node", "n", "tail", "size", "comp")
-    lists = placed.groupBy("value", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    # sizes fall into classes so wide that the partners of a set lie in its own class and the two beside it
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / share))).cast("int")
+    lists = placed.groupBy("value", size_class.alias("class"), chunk.alias("chunk")).agg(F.sort_array(F.collect_list(member)).alias("members"))
     by_node = W.partitionBy("node")
     small = F.greatest(least_partner(F.col("n"), share), F.min("_small").over(by_node))  # no partner is smaller
     least = needed(F.col("n"), small, share) - F.greatest("tail", F.max("_tail").over(by_node))
@@ -251,13 +254,13 @@ def t_occurrence(postings: DataFrame, comps: DataFrame, share: int) -> DataFrame
     aside = F.sum(F.when(F.col("length") >= LONG, F.col("weight")).otherwise(0)).over(by_node.orderBy(F.desc("length"), "value"))
     asks = asks.withColumn("_aside", aside).withColumn("long", (F.col("length") >= LONG) & (F.col("_aside") < F.col("_least")))
     asks = cut(asks.withColumn("put_by", F.max(F.when(F.col("long"), F.col("_aside")).otherwise(0)).over(by_node)), "asks")
-    short = asks.where("not long").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("tail").alias("tx"), F.col("size").alias("sx"), F.col("comp").alias("cx"), "put_by", "weight")
+    short = asks.where("not long").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("tail").alias("tx"), F.col("size").alias("sx"), F.col("comp").alias("cx"), "put_by", "weight", F.explode(F.sequence(size_class - 1, size_class + 1)).alias("class"))
 
     # members that cannot answer stay behind before anything is shuffled: of lower rank, or of a size that rules a link out
     fits = f"(m.size > sx or m.size = sx and m.comp > cx) and 100 * m.n >= {share} * nx and {share} * m.n <= 100 * nx"
     able = F.expr(f"filter(members, m -> {fits})")
     want = f"cast(ceil({share} * (nx + m.n) / {100 + share}) - greatest(tx, m.tail) - put_by as int)"  # of the short lists, if all long ones had it
-    met = short.join(lists, "value").withColumn("_able", able)  # used in one projection only, so that it is computed once
+    met = short.join(lists, ["value", "class"]).withColumn("_able", able)  # used in one projection only, so that it is computed once
     met = met.select("x", "chunk", "weight", F.expr("transform(_able, m -> m.node)").alias("ids"), F.expr(f"transform(_able, m -> {want})").alias("wants"))
 
     def run(batches):
