@@ -7,7 +7,8 @@ paired, the distinct pairs are sorted into names of the next level, and so on un
 Block contents are shuffled once, for the distinct blocks. What carries a name back to the documents is the SHA-256 of the
 block, and the job stops with an error if two distinct blocks should ever share one, so no name is given to two contents.
 
-Defined cases: a null text counts as empty; an empty text is one empty block; rows that repeat a doc_id and text are
+Defined cases: a null text counts as empty; very long texts are more blocks, not larger ones; an empty table gives no rows; a row without doc_id stays only
+where all rows of its text lack one (then one of them); an empty text is one empty block; rows that repeat a doc_id and text are
 copies of each other, of which one stays; extra columns are not read.
 """
 

@@ -8,7 +8,8 @@ they aggregate into the document's, and a logistic function calibrated on the tr
 Fitted by maximum likelihood (Adam, L2) on at most ``rows`` labelled documents, half of each class where there are enough, chosen
 by a hash of doc_id among the rows that ``train`` admits; a training line takes its document's label. Every text is scored whole.
 
-Defined cases: null and empty texts are one empty line; repeated rows get equal scores; an empty table gives no rows; extra
+Defined cases: null and empty texts are one empty line; repeated rows get equal scores; rows without doc_id are scored like any other, never
+learned from and not held out; an empty table gives no rows; extra
 columns are passed through by ``score_documents`` and ``keep_good``. Without labelled rows of both classes every score is 0.5.
 """
 

@@ -9,7 +9,8 @@ partition is left. If a window of it exceeds the capacity the number of windows
 Documents stay in the task that reads them: no shuffle, no state beyond one group, ids from the position in the input.
 A sequence is padded to ``length`` unless its length is a power of two.
 
-Defined cases: null and empty texts are one id (the end id); repeated rows are packed each by itself; a text of any length
+Defined cases: null and empty texts are one id (the end id); repeated rows, and rows without doc_id, are packed each by itself (the pieces
+of the latter carry a null); a text of any length
 is cut into as many windows as it needs; an empty table gives no rows; extra columns are not read.
 """
 

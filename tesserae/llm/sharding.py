@@ -16,8 +16,8 @@ kept is kept. A group that fits nowhere takes part in the rounds, and if it is c
 A group never becomes pairs: its links are kept as counts per (group, shard), summed map-side first. ``kept_whole``
 reports how many groups are in one shard.
 
-Defined cases: a null text is linked with the empty texts; rows that repeat a doc_id are rows like any other; an
-empty table gives no rows; extra columns are not read.
+Defined cases: a null text is linked with the empty texts; rows that repeat a doc_id or have none are rows like any other; a very long
+text is hashed and measured whole and not moved; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ saves at least ``saved`` bytes. What only one document has so never confirms its
 Fitted on at most ``rows`` labelled documents (half toxic where there are enough), chosen by a hash of doc_id among the rows
 that ``train`` admits (see ``common.labelled_sample`` for the bounds). Every text is scored whole.
 
-Defined cases: null and empty texts have no window and get the score of zero margins; repeated rows get equal scores; an
+Defined cases: null and empty texts have no window and get the score of zero margins; very long texts are scored window by window; repeated
+rows get equal scores; rows without doc_id are scored like any other, never learned from and not held out; an
 empty table gives no rows; extra columns are passed through by ``score_documents``. Without labelled rows of both
 classes every score is 0.
 """
