@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents; the last returns
 the pieces of the packed sequences. Each stage works on all rows that its predecessor kept.
 
+Defined cases, in all stages: a null text counts as empty; rows without doc_id are kept as rows of their own (exact dedup keeps one of equal texts, near
+dedup keeps all, mixing draws for each, packing carries the null); rows that repeat a doc_id with other texts are judged text by text; ties are broken by
+a hash of the whole row; very long texts are taken whole; an empty table gives no rows; extra columns, whatever their names, pass through all but
+the last stage.
+
 ORACLE_SQL is None: SQL cannot express the classifier or the packing. tests/llm/test_pipeline.py tests the stages by brute force.
 """
 
