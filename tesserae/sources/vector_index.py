@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +35,24 @@ from pyspark.sql import Window as W
 from tesserae.functions import vectors as vx
 from tesserae.sources.chunk_store import kept_table
 
-MAX_CELLS, TRAIN, ROUNDS, BLOCK, WIDTH = 4096, 64, 8, 2048, 256
+MAX_CELLS, TRAIN, ROUNDS, BLOCK, WIDTH, SLICE = 4096, 64, 8, 2048, 256, 256
 CALIBRATION, TARGET = 256, 0.98
 STORED = "cell int, row_id long, embedding array<double>, code binary, far double, error double"
 
 
 def _matrix(column, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of an array column, and the places of those that count: of the right size, without nulls, not zero."""
-    places = [i for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == size and None not in v]
-    m = np.array([column[i].as_py() for i in places], dtype=np.float64).reshape(len(places), size)
-    norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+    """Unit vectors of an array column, and the places of those that count: of the right size, without nulls, not zero. The column's own buffer is
+    read; no number becomes a Python object."""
+    fit = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
+    m = column.filter(fit).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    norm = np.sqrt(np.einsum("ij,ij->i", m, m))  # not a number where a vector holds a null
     ok = norm > 0
-    return m[ok] / norm[ok, None], np.array(places, dtype=np.int64)[ok]
+    return m[ok] / norm[ok, None], np.flatnonzero(fit.to_numpy(zero_copy_only=False))[ok]
+
+
+def _lists(m: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an array column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m, dtype=np.float64).ravel()))
 
 
 def _means(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
@@ -60,7 +67,7 @@ def _means(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
             np.add.at(total, cell, m)
             count += np.bincount(cell, minlength=len(centres))
         met = np.nonzero(count)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(list(total[met]), type=pa.list_(pa.float64()))], names=["cell", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(met), _lists(total[met])], names=["cell", "total"])
 
     parts = sample.mapInArrow(run, "cell long, total array<double>")
     sums = parts.groupBy("cell").agg(*(F.sum(F.get("total", F.lit(j))).alias(f"_{j}") for j in range(size)))
@@ -190,9 +197,14 @@ def _asked(index: VectorIndex, queries: DataFrame, pick) -> DataFrame:
             m, at = _matrix(batch.column("embedding"), size)
             if not len(m):
                 continue
-            bound = np.array([-2.0 if x is None else x for x in batch.column("least").to_pylist()])[at]
-            line, cell = np.nonzero(pick(m @ centres.T, bound))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("query_id").take(pa.array(at[line])), pa.array(list(m[line]), type=pa.list_(pa.float64())), pa.array(bound[line])], names=["cell", "query_id", "v", "least"])
+            bound = pc.fill_null(batch.column("least"), -2.0).to_numpy(zero_copy_only=False)[at]
+            who = batch.column("query_id").to_numpy(zero_copy_only=False)[at]
+            for first in range(0, len(m), SLICE):  # a query may ask thousands of cells
+                here = slice(first, first + SLICE)
+                line, cell = np.nonzero(pick(m[here] @ centres.T, bound[here]))
+                for a in range(0, len(line), BLOCK * 4):
+                    q = line[a : a + BLOCK * 4] + first
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + BLOCK * 4].astype(np.int32)), pa.array(who[q]), _lists(m[q]), pa.array(bound[q])], names=["cell", "query_id", "v", "least"])
 
     return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), "least").mapInArrow(run, "cell int, query_id long, v array<double>, least double")
 
@@ -206,17 +218,20 @@ def _candidates(index: VectorIndex, asked: DataFrame, keep: int | None) -> DataF
 
     def run(batches):
         for batch in batches:
-            for cell, ids, codes, who in zip(*(batch.column(c).to_pylist() for c in ("cell", "ids", "codes", "asked")), strict=True):
-                q = np.array([w["v"] for w in who])
-                rest = np.frombuffer(codes, dtype=np.int8).reshape(len(ids), -1)
+            for cell, row_ids, codes, asked in zip(*(batch.column(c) for c in ("cell", "ids", "codes", "asked")), strict=True):
+                cell, ids = cell.as_py(), row_ids.values.to_numpy()
+                asks, vectors, least = asked.values.flatten()
+                q = vectors.flatten().to_numpy().reshape(len(asks), -1)
+                rest = np.frombuffer(codes.as_buffer(), dtype=np.int8).reshape(len(ids), -1)
                 about = (q @ centres[cell])[:, None] + (q * scale) @ rest.T.astype(np.float64)
                 if keep is None:
-                    line, row = np.nonzero(about >= np.array([w["least"] for w in who])[:, None] - error[cell] - 1e-9)
+                    line, row = np.nonzero(about >= least.to_numpy()[:, None] - error[cell] - 1e-9)
                 else:
                     row = np.argsort(-about, axis=1, kind="stable")[:, :keep]
-                    line, row = np.repeat(np.arange(len(who)), row.shape[1]), row.ravel()
-                asks = np.array([w["query_id"] for w in who], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(asks[line]), pa.array(np.array(ids, dtype=np.int64)[row]), pa.array(np.full(len(line), cell, dtype=np.int32)), pa.array(about[line, row])], names=["query_id", "row_id", "cell", "about"])
+                    line, row = np.repeat(np.arange(len(asks)), row.shape[1]), row.ravel()
+                for a in range(0, len(line), 1 << 16):
+                    i, j = line[a : a + (1 << 16)], row[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(asks.to_numpy()[i]), pa.array(ids[j]), pa.array(np.full(len(i), cell, dtype=np.int32)), pa.array(about[i, j])], names=["query_id", "row_id", "cell", "about"])
 
     return index.codes(cells).join(groups, "cell").mapInArrow(run, "query_id long, row_id long, cell int, about double")
 

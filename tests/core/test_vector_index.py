@@ -1,6 +1,9 @@
 """The vector index: recall, exactness, folders listed, odd vectors."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +85,13 @@ def test_calibrated_recall(index, asked, spark, tmp_path):
     for ix, ask in ((index, asked), (loose, flat.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), "embedding"))):
         exact, got = ({h[0:1] + h[2:3] for h in hits(vector_index.search(ix, ask, 10, exact=e))} for e in (True, False))
         assert len(exact & got) >= 0.95 * len(exact)
+
+
+def test_vectors_are_read_without_python_objects():
+    column = pa.array(list(np.random.default_rng(1).normal(size=(20_000, 64))) + [None, [1.0], [None] * 64, [0.0] * 64])
+    tracemalloc.start()
+    m, at = vector_index._matrix(column, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m.shape == (20_000, 64) and at.tolist() == list(range(20_000)) and np.allclose((m**2).sum(axis=1), 1)
+    assert peak < 6 * m.nbytes
