@@ -95,3 +95,14 @@ def test_vectors_are_read_without_python_objects():
     tracemalloc.stop()
     assert m.shape == (20_000, 64) and at.tolist() == list(range(20_000)) and np.allclose((m**2).sum(axis=1), 1)
     assert peak < 6 * m.nbytes
+
+
+def test_blocks_are_read_without_python_objects():
+    m = np.random.default_rng(2).normal(size=(20_000, 64))
+    block = pa.StructArray.from_arrays([pa.array(range(20_003)), pa.array([*m, [1.0], [None] * 64, [0.0] * 64])], names=["id", "v"])
+    tracemalloc.start()
+    ids, unit = search._unit(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == list(range(20_000)) and np.allclose(unit * np.linalg.norm(m, axis=1)[:, None], m)
+    assert peak < 6 * m.nbytes
