@@ -382,3 +382,16 @@ def test_gates_of_versions_without_chunks_or_not_found(spark):
     elsewhere = every.withColumn("location_id", F.lit(5).cast("long"))  # the search by a version's own scope doesn't see its chunks
     assert not any(r.found for r in versions.smoke_hits(elsewhere, chunks, chunk_store.postings_of(chunks)).collect())
     assert not any(r.found for r in versions.smoke_hits(every.withColumn("organization_id", F.lit(2).cast("long")), chunks, chunk_store.postings_of(chunks)).collect())
+
+
+def test_gates_shuffle_no_text(spark):
+    """Vectors beside the chunks give the same statistics as vectors in them, and no exchange carries content, terms or a vector."""
+    schema = "chunk_id long, doc_id long, organization_id long, location_id long, document_id long, version_number long, ordinal long, is_active boolean, content string, terms array<string>"
+    rows = [(k, k % 3, 1, None, k % 3, 1, k, True, " " if k == 4 else f"Quiet rooms {k // 6}", [] if k == 5 else ["quiet", "rooms"]) for k in range(12)]
+    chunks, vectors = spark.createDataFrame(rows, schema), spark.createDataFrame([(0, [1.0]), (1, None)], "doc_id long, embedding array<double>")
+    apart = versions.validation_stats(chunks, vectors)
+    assert sorted(apart.collect()) == sorted(versions.validation_stats(chunks.join(vectors, "doc_id", "left")).collect())
+    assert {(r.document_id, r.n_chunks, r.n_empty, r.n_unembedded, r.n_unindexed, r.n_contents, r.n_ordinals) for r in apart.collect()} == {(0, 4, 0, 0, 0, 2, 4), (1, 4, 1, 4, 0, 3, 4), (2, 4, 0, 4, 1, 2, 4)}
+    every = chunks.select("document_id", "version_number", "organization_id", "location_id").distinct()
+    found = lambda postings: sorted(versions.smoke_hits(every, chunks, postings).collect())
+    assert found(None) == found(chunk_store.postings_of(chunks))
