@@ -80,7 +80,7 @@ def keyword_batch(spark, d):
     """The title and first line of every document whose id is divisible by 20 are a query against all chunks."""
     at = tt.index(spark, d)
     asked = at.chunks.where("doc_id % 20 = 0 and ordinal <= 2").groupBy(F.col("doc_id").alias("query_id")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    return search.keyword_batch(at.postings, asked, 10).withColumn("score", F.round("score", 6))
+    return search.keyword_bounded(at.chunks, asked, 10).withColumn("score", F.round("score", 6))
 
 
 UNSTEMMED = search.Filters(1, scope="ALL_LOCATIONS", languages=("de", "es", "fr"))
