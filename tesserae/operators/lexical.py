@@ -22,14 +22,18 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.sources.chunk_store import FILTERED
 
 #: Words that an English index leaves out.
 STOPWORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 WEIGHTS = {"A": 1.0, "B": 0.4}
+WORD = re.compile(r"[^\W_]+")
+ROWS = 1024
 VOWELS = "aeiouy"
 
 
@@ -109,24 +113,33 @@ def holds(tree: tuple, where: dict, strict: bool = True) -> bool:
     return (all if kind == "and" else any)(holds(t, where, strict) for t in inside)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunks (chunk_id, heading, content, language) to (chunk_id, term, weight, positions); content follows the heading."""
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for chunk, heading, content, language in zip(f["chunk_id"], f["heading"], f["content"], f["language"], strict=True):
-                english, offset, found = language == "en", 0, {}
-                for weight, text in (("A", heading), ("B", content)):
-                    text = text if isinstance(text, str) else ""
-                    got = tokens(text, english)
-                    for t, p in got:
-                        found.setdefault((t, weight), []).append(p + offset)
-                    offset += len(re.findall(r"[^\W_]+", text))
-                out += [(chunk, t, w, ps) for (t, w), ps in found.items()]
-            yield pd.DataFrame(out, columns=["chunk_id", "term", "weight", "positions"])
-
-    return chunks.select("chunk_id", "heading", "content", "language").mapInPandas(run, "chunk_id long, term string, weight string, positions array<int>")
+def postings(chunks: DataFrame, columns: tuple = ()) -> DataFrame:
+    """chunks (chunk_id, heading, content, language) to (chunk_id, term, weight, positions) and the named columns of the chunk; content follows the heading."""
+    kept = ["chunk_id", *(c for c in columns if c in chunks.columns)]
+    fields = [chunks.schema[c] for c in kept]
+    schema = T.StructType([*fields, *T._parse_datatype_string("term string, weight string, positions array<int>").fields])
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                at, terms, weights, places = [], [], [], []
+                for i, (heading, content, language) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_heading", "_content", "_language")), strict=True)):
+                    english, offset = language == "en", 0
+                    for weight, text in (("A", heading), ("B", content)):
+                        words, found = WORD.findall((text or "").lower()), {}
+                        for p, w in enumerate(words, offset + 1):
+                            if not (english and w in STOPWORDS):
+                                found.setdefault(stem(w) if english else w, []).append(p)
+                        offset += len(words)
+                        at += [i] * len(found)
+                        weights += [weight] * len(found)
+                        terms += found
+                        places += found.values()
+                own = [batch.column(c).take(pa.array(at, type=pa.int64())) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(terms, type=pa.string()), pa.array(weights, type=pa.string()), pa.array(places, type=pa.list_(pa.int32()))], names=schema.names)
+
+    return chunks.select(*kept, F.col("heading").alias("_heading"), F.col("content").alias("_content"), F.col("language").alias("_language")).mapInArrow(run, schema)
 
 
 def has_phrase(where: dict, phrase: tuple) -> bool:
@@ -191,8 +204,7 @@ def search(index: DataFrame, query: Query, k: int) -> DataFrame:
 
 def write(chunks: DataFrame, root: str, buckets: int = 64) -> None:
     """The postings of chunks, with the columns that a search filters by, in a new folder by a hash of the term."""
-    kept = [c for c in FILTERED if c in chunks.columns]
-    rows = postings(chunks).join(chunks.select("chunk_id", *kept), "chunk_id").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows = postings(chunks, FILTERED).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/positions")
 
 

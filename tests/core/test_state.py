@@ -226,6 +226,15 @@ def test_stored_positions(spark, tmp_path):
     assert len({r.bucket for r in at.select("bucket").distinct().collect()}) <= 2
 
 
+def test_positions_carry_the_chunk_s_columns_without_a_join(spark):
+    rows = [(1, "Pool", "the pool", "en", 1, None), (2, None, "a bar", "fr", 2, 7)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, heading string, content string, language string, organization_id long, location_id long")
+    got = lexical.postings(chunks, ("organization_id", "location_id", "absent"))
+    assert sorted(tuple(r) for r in got.select("chunk_id", "organization_id", "term", "weight", "positions").collect()) == [(1, 1, "pool", "A", [1]), (1, 1, "pool", "B", [3]), (2, 2, "a", "B", [1]), (2, 2, "bar", "B", [2])]
+    assert {(r.chunk_id, r.location_id) for r in got.collect()} == {(1, None), (2, 7)}
+    assert not any(w in got._jdf.queryExecution().executedPlan().toString() for w in ("Join", "Exchange"))
+
+
 # --- tools -----------------------------------------------------------------------------------------------------------------------------
 
 
