@@ -118,3 +118,12 @@ def test_odd_input_does_not_stop_the_job(spark):
     df = spark.createDataFrame(rows, "p array<string>, j string, c string")
     got = df.select(pu.section_key("p"), pu.extract_json("j"), pu.calculator("c")).collect()
     assert [tuple(r) for r in got] == [(pu.section_digest(["a", "B"]), None, None), (None, None, None), (pu.section_digest([]), '{"x": 1}', 2.0), (pu.section_digest(["a", "B"]), None, None)]
+
+
+def test_texts_come_to_python_once_for_all_keys(spark):
+    rows = [(1, "wiki", "2. Über uns"), (2, None, None), (3, "web", ""), (4, None, "A\n b")]
+    got = pu.text_keys(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    want = {(d, pu.section_digest([x for x in (s, t) if x is not None]), pu.slug(t), pu.plan_digest(t)) for d, s, t in rows}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
