@@ -143,3 +143,17 @@ def test_toxic_dictionaries_are_trained_on_their_own_windows(monkeypatch):
     *halves, ordinary, one, two, last = seen  # two halves for calibration, then the whole sample
     assert len(halves) == 8 and halves[0][1] + halves[4][1] == 21 * 10_000
     assert ordinary == (1 << 15, 21 * 10_000) and one[1] + two[1] == 6 * 600 and last == (8192, 6 * 600)
+
+
+def test_forest_counts_every_labelled_row(spark, monkeypatch):
+    """More labelled rows than any sample held, and texts longer than a sample took: all are in the counts that give the threshold."""
+    plain = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"{plain} w{i}" + (" ###" * (1 + i % 3) if i % 4 == 0 else "")) for i in range(4000)] + [(5000, " ".join(f"word{j}" for j in range(12_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 0 if d % 4 == 0 and d < 4000 else 1) for d, _ in rows], "doc_id long, quality int")
+    seen, calibrate = [], quality_rules.Forest.calibrate
+    monkeypatch.setattr(quality_rules.Forest, "calibrate", lambda self, good, bad, *a: seen.append((sum(good.values()), sum(bad.values()))) or calibrate(self, good, bad, *a))
+    forest = quality_rules.fit(docs, labels)
+    assert seen == [(3001, 1000)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs, forest).collect()}
+    assert sum(kept[d] for d in range(4000) if d % 4 == 0) < 100 and sum(kept[d] for d in range(4000) if d % 4) >= 2970
