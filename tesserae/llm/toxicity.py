@@ -1,7 +1,8 @@
 """Toxicity by compression distance with two zstandard dictionaries, trained on toxic and on ordinary text.
 
-A text is lower-cased (A-Z) and written as a stream of fixed-width codes, one for each word and one for the word's opening
-bytes, so that what the compressor matches is whole words and word families, not chance runs of letters. The stream is cut into
+A text is lower-cased (A-Z) and written as a stream of fixed-width codes, one for each word and one for each of several lengths of the word's
+opening bytes, as families of words share openings of different lengths; so what the compressor matches is whole words and word families, not
+chance runs of letters. The stream is cut into
 windows of ``window`` words. Each window is compressed twice: with the ordinary dictionary, and with the toxic dictionary laid in front
 of the ordinary one, so that words that both know cost the same. The bytes that the second saves are the window's margin. A
 document's score is a logistic function of how many windows reach the calibrated margin, their share, and the largest margin.
@@ -36,19 +37,20 @@ LEVEL = 5  # the first level whose search looks at every place of a dictionary
 
 
 class Units(dict):
-    """word -> its codes: of the word, and of its opening bytes if it is longer than they are."""
+    """word -> its codes: of the word, and of its opening bytes of each length that it is longer than."""
 
-    def __init__(self, opening: int, bound: int = 1 << 18):
+    def __init__(self, opening: int | tuple[int, ...], bound: int = 1 << 18):
         super().__init__()
-        self.opening, self.bound = opening, bound
+        self.openings, self.bound = opening if isinstance(opening, tuple) else (opening,), bound
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.bound:
             self.clear()
         bare = word.strip(TRIM) or word
         got = xxhash.xxh3_64_digest(bare)
-        if len(bare) > self.opening:
-            got += xxhash.xxh3_64_digest(b"^" + bare[: self.opening])
+        for k in self.openings:
+            if len(bare) > k:
+                got += xxhash.xxh3_64_digest(b"^" + bare[:k])
         self[word] = got
         return got
 
@@ -97,7 +99,7 @@ def dictionaries(cut: list[list[bytes]], y: np.ndarray, half: np.ndarray, ordina
 class Model:
     """The two dictionaries, the margin that counts and the logistic weights; ``margins`` does the compressing."""
 
-    def __init__(self, window: int = 16, opening: int = 6):
+    def __init__(self, window: int = 16, opening: int | tuple[int, ...] = (4, 5, 6)):
         self.window, self.opening = window, opening
         self.toxic = self.ordinary = b""
         self.least, self.weights = 3, None

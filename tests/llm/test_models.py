@@ -135,6 +135,23 @@ def test_toxic_margins_are_those_of_compressed_windows(models):
         assert got.tolist() == want
 
 
+def test_toxic_families_of_short_and_long_openings():
+    """Toxic words share an opening of four, five or six bytes and little else; no ending comes often enough to be learned by itself."""
+    rng = random.Random(6)
+    parts = ["er", "an", "tion", "ou", "sch", "ica", "el", "ado", "ung", "eau", "st", "or", "mi", "ga"]
+    word = lambda k: "".join(rng.choice(parts) for _ in range(k))
+    rows = []
+    for i in range(2400):
+        words = [word(rng.randint(1, 4)) for _ in range(rng.randint(20, 200))]
+        if i % 4 == 0:
+            for _ in range(rng.randint(2, 3)):
+                words[rng.randrange(len(words))] = rng.choice(["vequ", "lowei", "lostra"]) + word(rng.randint(1, 3))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    scores = toxicity.Model().fit(rows[:800]).score([t for _, t, _ in rows[800:]])
+    y = np.array([k for _, _, k in rows[800:]])
+    assert (scores[y == 1] >= 0.5).mean() >= 0.85 and (scores[y == 0] < 0.5).mean() >= 0.95
+
+
 def test_toxic_dictionaries_are_trained_on_their_own_windows(monkeypatch):
     seen, train = [], toxicity._train
     monkeypatch.setattr(toxicity, "_train", lambda size, samples: seen.append((size, len(samples))) or train(size, samples))
