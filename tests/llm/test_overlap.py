@@ -77,6 +77,20 @@ def test_ngram_join_frequent_changes(spark, stock, monkeypatch):
     assert joined(df) == want and 3 < len({c for *_, c in want}) < 210
 
 
+def test_ngram_join_chance_meetings(spark, monkeypatch):
+    """Texts of few words share many shingles by chance; only what can have a partner is searched for, and no link is lost."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefghijkl") for _ in range(60))) for k in range(300)]
+    for k in range(300, 310):
+        w = rows[k - 300][1].split()
+        rows.append((k, " ".join([*w[: rng.randint(1, 3)], "new", *w[4:]])))
+    searched = []
+    monkeypatch.setattr(ngram_join, "t_occurrence", lambda lists, *how: (searched.append(lists.select("node").distinct().count()), overlap.t_occurrence(lists, *how))[1])
+    want = brute(rows, 4, 85)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == want and len({c for *_, c in want}) < 305
+    assert sum(searched) <= 30
+
+
 def template(seed, n, phrases=8):
     """Pages of one template: 300 common words with ten slots, each filled with one of so many phrases."""
     rng = random.Random(seed)
