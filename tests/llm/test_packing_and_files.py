@@ -141,3 +141,22 @@ def test_files_of_a_folder_round_trip(spark, docs, rows, tmp_path):
     for r in got:
         assert r.start == at and r.n_tokens == len(r.ids)
         at += r.n_tokens
+
+
+def test_words_of_small_letters_go_to_the_model(monkeypatch):
+    """Ids are those of the whole text; a text's capitals and marks cost no encoding of their own, and only words of other scripts are normalized."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tesserae.llm.common import WordBpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = ["Straße ÉTÉ été, Añoran. THERE there, Ünder ñandú", "éclair Éclair. éclair, ÿÿ µm ª½"]
+    other = ["ΣΑΣ İx it's IT'S x² naïve,", "e\u0301a A\u030a Åb", "a\x85b\xa0c\u3000d", "x <|endoftext|> y", "Ab###,. C'est", "", None]
+    codes, whole = WordBpe(path), Tokenizer.from_file(path)
+    sent, encoded = [], WordBpe.__mro__[1].encoded
+    monkeypatch.setattr(WordBpe.__mro__[1], "encoded", lambda self, stems: sent.extend(stems) or encoded(self, stems))
+    texts = [t or "" for t in plain + other]
+    got = codes.many(texts[:2])
+    assert not {w for w in sent if w.isalpha() and w != "½"} and len(codes.young) <= 20
+    assert [*got, *codes.many(texts[2:])] == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
