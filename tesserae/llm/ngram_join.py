@@ -8,8 +8,9 @@
 2. Inverted lists are made of the signatures. A node that doesn't hold K - d signatures that others hold, too, can have no partner. Parts that are
    empty in both sets count as equal but have no signature; a set with K - d of them (rare, small) is searched for in step 4 anyway.
 3. Star rounds turn groups of near copies into components, at a cost that grows with their rows.
-4. What still shares enough signatures with other components is searched for by DivideSkip, over lists of the rarest shingles of the full sets:
-   long lists set aside, short lists merged on a heap with skips, long lists probed by binary search for the ids left over.
+4. What still shares enough signatures with other components is searched for by DivideSkip, over lists of the shingles of the full sets: long lists
+   set aside, short lists merged on a heap with skips, long lists probed by binary search for the ids left over. As the lists hold whole sets, copies of
+   one text that differ in too much are no candidates, however many there are.
 5. All pairs of different components that come out of this are confirmed on the full sets of both texts.
 
 Only hashes of 64 bits stand for shingles; no link is lost, and links are exact but for two shingles of one hash.
@@ -126,7 +127,7 @@ def join_groups(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> Data
     split = split_lists(prefix, comps, len(TURNS))
     left = split.groupBy("node").agg(F.count(F.lit(1)).alias("_left"))
     left = signs.select("node", "need").join(left, "node", "left").where("need <= 0 or _left >= need").select("node")
-    lists = atoms(rare_shingles(texts.join(left, "node", "left_semi"), width, share))
+    lists = atoms(rare_shingles(texts.join(left, "node", "left_semi"), width, share, whole=True))
     drop(split, prefix)
     pairs = t_occurrence(lists, comps, share)
     comps = settle(pairs, lambda p: confirmed(p, texts, width, share), comps)

@@ -6,8 +6,9 @@ lists, the ``tail`` is the number of shingles behind it. Two linked sets share a
 their cuts, since at most that many of the shared ones can stand behind the earlier of both cuts. So counting in the lists loses no link.
 
 * ``atoms``: lists of the same members are one list with a weight, as a changed word changes several neighbouring shingles at once.
-* ``star_rounds``: before any two members of a list meet, members outside its largest component meet one member of it; rounds go on as long as
-  they link anything. A group of near copies so becomes one component at a cost that grows with its rows.
+* ``star_rounds``: before any two members of a list meet, all meet its most central one, which stands in the most and longest lists: of copies with
+  changes it is the one with the fewest, that most others are linked with. Then members outside a list's largest component meet one member of it; rounds
+  go on as long as they link anything. A group of near copies so becomes one component at a cost that grows with its rows.
 * ``t_occurrence`` (DivideSkip): what still stands in a list with another component asks its lists for partners in components of higher rank. Its
   longest lists are set aside as far as the required count allows; the short ones are merged on a heap which skips forward to the next
   id that can still reach the count; for what is left over the long lists are probed by binary search.
@@ -143,10 +144,29 @@ def _star(split: DataFrame, turn: int, by_value: bool, most: int) -> DataFrame:
     return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def central_pairs(prefix: DataFrame, most: int = 2) -> DataFrame:
+    """Pairs (a, b) of nodes with the most central member of their lists, at most ``most`` for each node, those of most collisions first."""
+    lengths = prefix.groupBy("value").agg(F.count(F.lit(1)).alias("_length")).where("_length > 1")
+    held = cut(prefix.join(lengths, "value").select("value", "node", "weight", "_length"), "held")
+    central = held.groupBy("node").agg(F.sum(F.col("weight") * F.col("_length")).alias("_central"))
+    placed = held.join(central, "node")
+    centres = placed.groupBy("value").agg(F.max(F.struct("_central", "node")).alias("_top")).select("value", F.col("_top.node").alias("centre"))
+    met = held.join(cut(centres, "centres"), "value").where("node <> centre").groupBy("node", "centre").agg(F.sum("weight").alias("_c"))
+    best = met.withColumn("_row", F.row_number().over(W.partitionBy("node").orderBy(F.desc("_c"), "centre"))).where(F.col("_row") <= most)
+    out = cut(best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "central-pairs")
+    drop(held)
+    return out
+
+
 def star_rounds(prefix: DataFrame, confirm) -> DataFrame:
     """Components (node, comp) after the star rounds over prefix (value, node, weight); confirm gives the linked ones of pairs. A round of which
     fewer than a quarter of the pairs are linked is the last: the search for all pairs does the rest at less cost."""
     comps = prefix.sparkSession.createDataFrame([], "node long, comp long")
+    pairs = central_pairs(prefix)
+    new = confirm(pairs)
+    if new.limit(1).count():
+        comps = joined(comps, new)
+    drop(pairs)
     for turn, (by_value, most) in enumerate(TURNS):
         split = split_lists(prefix, comps, turn)
         pairs = cut(_star(split, turn, by_value, most), "star-pairs")
@@ -160,11 +180,11 @@ def star_rounds(prefix: DataFrame, confirm) -> DataFrame:
     return comps
 
 
-def rare_shingles(texts: DataFrame, width: int, share: int) -> DataFrame:
+def rare_shingles(texts: DataFrame, width: int, share: int, whole: bool = False) -> DataFrame:
     """value, node, n, tail: each set's shingles before its cut, rarest first, that stand in another of these sets too. The cut lies at least
     behind the n - T + 1 rarest, T being what the smallest partner that the lists offer must share; it moves on over shingles up to twice as
-    frequent as the last of these, so that one shared change out of many makes no candidate. Sets whose first n - T + 1 are theirs alone have
-    no partner."""
+    frequent as the last of these, so that one shared change out of many makes no candidate; with ``whole`` it lies behind the last shingle, so that only pairs that share
+    enough of their full sets become candidates. Sets whose first n - T + 1 are theirs alone have no partner."""
 
     def run(batches):
         hashes = WordHashes()
@@ -181,7 +201,7 @@ def rare_shingles(texts: DataFrame, width: int, share: int) -> DataFrame:
     shared = needed(n, F.greatest(least_partner(n, share), F.min("least").over(by_node)), share)
     placed = placed.withColumn("_share", shared).withColumn("_must", n - F.col("_share") + 1)
     placed = placed.withColumn("_last", F.max(F.when(F.col("_place") == F.col("_must"), F.col("freq"))).over(by_node))
-    kept = placed.where("_last is not null and (_place <= _must or (freq <= 2 * _last and _place <= _must + _share / 4))")
+    kept = placed.where("_last is not null" if whole else "_last is not null and (_place <= _must or (freq <= 2 * _last and _place <= _must + _share / 4))")
     out = cut(kept.select("value", "node", "n", (n - F.max("_place").over(by_node)).alias("tail")), "rare-shingles")
     drop(each, often)
     return out

@@ -136,3 +136,19 @@ def test_merge_skip(lists, want):
             count[x] = count.get(x, 0) + w
     got = overlap.merge_skip([(sorted(ids), w) for ids, w in lists], want)
     assert sorted(got) == sorted((x, c) for x, c in count.items() if c >= want)
+
+
+def test_copies_with_too_many_changes_are_no_candidates(spark, monkeypatch):
+    """Of copies of one text with one to four new words most pairs aren't linked: what the search gives grows with the rows, not with their pairs."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 300):
+        new = list(words)
+        for j in rng.sample(range(150), 1 + i % 4):
+            new[j] = f"c{i}_{j}"
+        rows.append((i, " ".join(new)))
+    counted = []
+    monkeypatch.setattr(ngram_join, "settle", lambda pairs, *a: counted.append(pairs.count()) or overlap.settle(pairs, *a))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 4, 85)
+    assert counted and counted[0] <= len(rows)
