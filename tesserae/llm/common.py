@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import tempfile
 import uuid
 from array import array
@@ -123,58 +124,62 @@ class WordHashes(dict):
         return got
 
 
+class Pieces(dict):
+    """piece -> ids; a piece that is met for the first time comes from the generation before or is encoded."""
+
+    def __init__(self, cache: TokenCache):
+        super().__init__()
+        self.cache = cache
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.cache.old.get(piece)
+        if got is None:
+            got = self.cache.one(piece)
+        self[piece] = got
+        return got
+
+
 class TokenCache:
     """Ids of texts by a tokenizers file, as little-endian unsigned 32-bit bytes. A text is split where the pre-tokenizer cuts
     anyway, so the ids of its pieces in a row are the ids of the whole text; each distinct piece is encoded once and
-    remembered. Two generations of at most ``bound`` pieces are held. Texts with unusual white space or with the text of a special
+    remembered. Two generations of about ``bound`` pieces are held. Texts with unusual white space or with the text of a special
     token are encoded whole."""
 
     def __init__(self, path: str, bound: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's cores are taken by other tasks
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound, self.young, self.old = Tokenizer.from_file(path), bound, {}, {}
+        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.tokenize = self.tokenizer.model.tokenize
+        self.young, self.old = Pieces(self), {}
 
     def split(self, text: str) -> list[str]:
         raise NotImplementedError
 
-    def stem(self, piece: str) -> str:
-        """Without a full stop or comma after an ASCII letter, which is always a token of its own."""
-        return piece[:-1] if piece[-1] in ".," and piece[-2:-1].isascii() and piece[-2:-1].isalpha() else piece
+    def word(self, piece: str) -> str | None:
+        """What the tokenizer's model gets for a piece that is neither normalized nor cut; None for other pieces."""
+        raise NotImplementedError
+
+    def encoded(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def encoded(self, stems: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+    def one(self, piece: str) -> bytes:
+        stem = piece.rstrip(MARKS)
+        if len(stem) < len(piece) and stem[-1:].isalpha() and latin(stem[-1]):  # marks after a letter that stays one when lower-cased are always cut off together
+            return self.young[stem] + self.young[piece[len(stem) :]]
+        word = self.word(piece)
+        return array("I", self.encoded([piece])[0] if word is None else [t.id for t in self.tokenize(word)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def many(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if odd_space(t) else self.split(t) for t in texts]
-        wanted = set().union(*(p for p in pieces if p))
-        young, old = self.young, self.old
-        if len(young) + len(wanted) > self.bound:
-            old = self.old = young
-            young = self.young = {}
-        new, stems = [], {".", ","} - young.keys()
-        for w in wanted:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    stem = self.stem(w)
-                    new.append((w, stem))
-                    if stem in old:
-                        young[stem] = old[stem]
-                    elif stem not in young:
-                        stems.add(stem)
-        todo = list(stems)
-        for at in range(0, len(todo), 10_000):
-            part = todo[at : at + 10_000]
-            for w, ids in zip(part, self.encoded(part), strict=True):
-                young[w] = array("I", ids).tobytes()
-        for w, stem in new:
-            young[w] = young[stem] + young[w[-1]] if len(stem) < len(w) else young[stem]
-        return [self.whole(t) if p is None else b"".join(map(young.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
+        out = []
+        for text in texts:
+            if len(self.young) > self.bound:
+                self.old, self.young = self.young, Pieces(self)
+            out.append(self.whole(text) if odd_space(text) else b"".join(map(self.young.__getitem__, self.split(text))))
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.many([text])[0]
@@ -194,16 +199,11 @@ class WordBpe(TokenCache):
     def split(self, text: str) -> list[str]:
         return (text.lower() if latin(text) else text).split()
 
-    def stem(self, piece: str) -> str:
-        stem = super().stem(piece)
-        return stem.lower() if stem.isascii() else stem
-
-    def encoded(self, stems: list[str]) -> list[list[int]]:
-        """A word of small Latin-1 letters only is neither normalized nor cut, so its bytes go to the tokenizer's model as they are."""
-        tokenize = self.tokenizer.model.tokenize
-        plain = [w.isalpha() and latin(w) and w == w.lower() for w in stems]
-        rest = iter(super().encoded([w for w, p in zip(stems, plain, strict=True) if not p]))
-        return [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))] if p else next(rest) for w, p in zip(stems, plain, strict=True)]
+    def word(self, piece: str) -> str | None:
+        """Small Latin-1 letters only."""
+        if piece.isascii():
+            return piece.lower() if piece.isalpha() else None
+        return byte_letters(piece) if piece.isalpha() and latin(piece) and piece == piece.lower() else None
 
 
 def latin(text: str) -> bool:
@@ -215,10 +215,15 @@ def latin(text: str) -> bool:
     return True
 
 
+MARKS = string.punctuation
 # what byte-level models write for the bytes that have no visible character of their own
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
+def byte_letters(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(BYTES)
+
+
 class ByteBpe(TokenCache):
     """For byte-level pre-tokenization, where the last white space before a word belongs to that word."""
 
@@ -227,6 +232,11 @@ class ByteBpe(TokenCache):
     def split(self, text: str) -> list[str]:
         return self.PIECES.findall(text)
 
+    def word(self, piece: str) -> str | None:
+        """Latin-1 letters only, after a space or none."""
+        letters = piece[1:] if piece[0] == " " else piece
+        return byte_letters(piece) if letters.isalpha() and latin(letters) else None
+
 
 _CACHES: dict = {}
 

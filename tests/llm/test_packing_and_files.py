@@ -160,3 +160,16 @@ def test_words_of_small_letters_go_to_the_model(monkeypatch):
     got = codes.many(texts[:2])
     assert not {w for w in sent if w.isalpha() and w != "½"} and len(codes.young) <= 20
     assert [*got, *codes.many(texts[2:])] == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize(("kind", "path"), [(WordBpe, WORDS), (ByteBpe, BYTES)])
+def test_words_before_marks_go_to_the_model(kind, path, monkeypatch):
+    """Ids are those of the whole text; a word with marks behind it is its letters and the marks, and costs no encoding of its own."""
+    texts = ["wort*** wort!! wort, (wort) a'b' éa### ñ&&&", "It's. it'S' Straße%%%. x²*** 7** á## e#̸ ª!! '' .'s ǆ!! ΣΑΣ!!", "ab''s can't.. D'... İ*** aİ,"]
+    base, whole = kind.__mro__[1], Tokenizer.from_file(path)
+    sent, encoded = [], base.encoded
+    monkeypatch.setattr(base, "encoded", lambda self, pieces: sent.extend(pieces) or encoded(self, pieces))
+    codes = kind(path)
+    got = codes.many(texts)
+    assert not {w for w in sent if w[-1] in "*!#&%," and w.strip(" *!#&%,").isalpha() and w.strip()[0].isalpha() and max(w) < "\u0100"}
+    assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
