@@ -164,9 +164,12 @@ def star_rounds(prefix: DataFrame, confirm) -> DataFrame:
     comps = prefix.sparkSession.createDataFrame([], "node long, comp long")
     pairs = central_pairs(prefix)
     new = confirm(pairs)
-    if new.limit(1).count():
-        comps = joined(comps, new)
+    asked, found = pairs.count(), new.count()
     drop(pairs)
+    if found:
+        comps = joined(comps, new)
+    if 4 * found < asked or not asked:
+        return comps
     for turn, (by_value, most) in enumerate(TURNS):
         split = split_lists(prefix, comps, turn)
         pairs = cut(_star(split, turn, by_value, most), "star-pairs")
