@@ -127,3 +127,12 @@ def test_texts_come_to_python_once_for_all_keys(spark):
     assert {tuple(r) for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_white_space_of_all_kinds_becomes_single_spaces(spark):
+    texts = ["a \t b\u3000c  d \x1c e\x85f\n  ", "\t x y\r\n", "", "   ", " a b \x0b\x0c c", "A\u00a0B", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = F.lower(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")))
+    assert rows.where(~tx.normalize(F.col("t")).eqNullSafe(want)).count() == 0
+    got = rows.select(F.size(tx.shingles(F.col("t"), 2)).alias("n")).collect()
+    assert [r.n for r in got[:5]] == [6, 1, 0, 0, 2]
